@@ -133,7 +133,7 @@ def cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) ->
     m = len(GRIDS)
     alpha_m, delta_m = alpha / m, delta / (m * (len(STRATA) + 1))
     above = lambda k: lambda c: F.col(k) > c
-    measures = F.array(*(F.struct(F.lit(k).alias("measure"), F.size(F.filter(F.array(*map(F.lit, g)), above(k))).alias("level")) for k, g in GRIDS.items()))
+    measures = F.array(*(F.struct(F.lit(k).alias("measure"), (F.lit(len(g) + 1) - F.size(F.filter(F.array(*map(F.lit, g)), above(k)))).alias("level")) for k, g in GRIDS.items()))
     counts = (
         labelled.where(~F.col("base_failed"))
         .select("stratum", "good", "held", F.explode(measures).alias("x"))
@@ -141,15 +141,14 @@ def cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) ->
         .agg(*(F.count_if(c).alias(a) for a, c in (("k", F.col("good") & F.col("held")), ("good_design", F.col("good") & ~F.col("held")), ("bad_design", ~F.col("good") & ~F.col("held")))))
     )
     whole = W.partitionBy("stratum", "measure")
-    beyond = whole.orderBy(F.desc("grid_level")).rowsBetween(W.unboundedPreceding, 0)
     so_far = whole.orderBy("grid_level").rowsBetween(W.unboundedPreceding, 0)
     grid = F.create_map(*(x for k, g in GRIDS.items() for x in (F.lit(k), F.array(*map(F.lit, g)))))
-    # level j: the value is above the first j cutoffs; cutoff j rejects the levels from j on
+    # level j: cutoff j is the first that the value is above; cutoff j rejects the levels up to j
     full = counts.groupBy("stratum", "measure").agg(F.map_from_entries(F.collect_list(F.struct("level", F.struct("k", "good_design", "bad_design")))).alias("m"))
-    full = full.select("stratum", "measure", "m", F.explode(F.sequence(F.lit(0), F.size(grid[F.col("measure")]))).alias("grid_level"))
+    full = full.select("stratum", "measure", "m", F.explode(F.sequence(F.lit(1), F.size(grid[F.col("measure")]) + 1)).alias("grid_level"))
     zero = F.lit(0).cast("long")
     full = full.select("stratum", "measure", "grid_level", *(F.coalesce(F.try_element_at("m", F.col("grid_level"))[c], zero).alias(c) for c in ("k", "good_design", "bad_design")))
-    full = full.select("stratum", "measure", "grid_level", F.sum("k").over(whole).alias("n"), *(F.sum(c).over(beyond).alias(c) for c in ("k", "good_design", "bad_design"))).where("grid_level > 0")
+    full = full.select("stratum", "measure", "grid_level", F.sum("k").over(whole).alias("n"), *(F.sum(c).over(so_far).alias(c) for c in ("k", "good_design", "bad_design"))).where(F.col("grid_level") <= F.size(grid[F.col("measure")]))
     tested = full.withColumn("passed", F.min((F.col("n") > 0) & (binomial_tail(F.col("k"), F.col("n"), alpha_m) <= delta_m)).over(so_far))
     gain = F.col("bad_design") - GOOD_COST * F.col("good_design")
     best = (
