@@ -24,6 +24,8 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Python workers of a local session start elsewhere; a cluster gets the package by --py-files
+    spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
