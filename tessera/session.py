@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import os
 import tempfile
 import uuid
@@ -53,4 +55,42 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.tessera_path = path
+    _made.append(path)
+    return out
+
+
+#: Folders that materialize has written and nothing has removed.
+_made: list[str] = []
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+        if path in _made:
+            _made.remove(path)
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Removes tables that materialize gave, once nothing reads them any more."""
+    for df in tables:
+        if getattr(df, "tessera_path", None):
+            _remove(df.sparkSession, [df.tessera_path])
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Removes the tables made inside, but for those given to the function that it yields."""
+    start, kept = len(_made), []
+    yield lambda df: (kept.append(df.tessera_path), df)[1]
+    _remove(spark, [p for p in _made[start:] if p not in kept])
+
+
+def drop_all(spark: SparkSession) -> None:
+    """Removes all tables that materialize has given, and shuffle files of plans that are gone."""
+    _remove(spark, list(_made))
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -29,7 +29,7 @@ def test_code_chunks(spark):
     assert py.loc["Cart", "symbol_type"] == "class" and (py.loc["Cart", "start_line"], py.loc["Cart", "end_line"]) == (12, 16)
     assert py.loc["add", "parent_scope"] == "Cart" and py.loc["add", "context_header"] == "class Cart > def add(self, item: str) -> None"
     assert py.loc["send", "symbol_type"] == "method" and py.loc["fetch", "symbol_type"] == "async_function"
-    assert py.loc["total", "context_header"].startswith("@cache def total") and py.loc["total", "start_line"] == 28
+    assert py.loc["total", "context_header"].startswith("@cache def total") and py.loc["total", "start_line"] == 29
     assert list(py.loc["total", "dependencies"]) == ["os", "shop.tax.rate"]
     go = c[(c.file_path == "cmd/main.go")]
     assert set(zip(go.symbol_name, go.symbol_type)) >= {("Cart", "struct"), ("Add", "method"), ("main", "function")}
