@@ -26,9 +26,19 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _prepare(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows and bytes of a batch that reaches a Python worker: whole texts are held, so few at a time.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def _prepare(spark: SparkSession) -> None:
     # Python workers of a local session start elsewhere; a cluster gets the package by --py-files
     spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,6 +63,7 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     Cuts the lineage, survives lost executors and lets later plans see real sizes.
     """
     spark = df.sparkSession
+    _prepare(spark)
     path = f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
