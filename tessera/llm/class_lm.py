@@ -12,7 +12,7 @@ The base score is the unigram model with one added to each count.
 
 Training texts are those whose crc32(doc_id as text) mod 7 is not HELD_OUT. All counts
 cover all of them. Tables that reach every executor are bounded by parameters: the
-units, the suffixes, the class counts, and the counts of the HEAD most frequent words.
+units, the suffixes, the class counts, and the counts of the HEAD most frequent words (fewer, where equal counts would exceed it).
 Counts of rarer words are joined.
 
 Null and empty texts consist of the end token. Rows without an id are training rows.
@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import most_frequent
 from tessera.session import materialize
 
 UNITS, SUFFIX, SUFFIXES, CLASSES, ROUNDS, HEAD = 4096, 2, 1024, 32, 4, 150_000
@@ -224,7 +225,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     ends = docs.where(~held_out()).count()
     whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = whole.n + ends, whole.v + (ends > 0)
-    head = [(r.word, r.c) for r in counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()]
+    head = sorted(((r.word, r.c) for r in most_frequent(counts, "c", HEAD).collect()), key=lambda x: (-x[1], x[0].encode()))
     words = [w for w, _ in head[:UNITS]]
     lowest = head[len(words) - 1] if words else None
     rest = counts
@@ -232,7 +233,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         rest = counts.where((F.col("c") < lowest[1]) | (F.col("c") == lowest[1]) & (F.col("word") > lowest[0]))
     suffix = F.substring("word", -SUFFIX, SUFFIX)
     by_suffix = rest.groupBy(suffix.alias("s")).agg(F.sum("c").alias("n"), F.count("*").alias("v"))
-    top = by_suffix.orderBy(F.desc("n"), "s").limit(SUFFIXES).collect()
+    top = sorted(most_frequent(by_suffix, "n", SUFFIXES).collect(), key=lambda r: (-r.n, r.s.encode()))
     units = Units(words, [r.s for r in top])
     common = rest.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     shared = np.array([*((r.n, r.v) for r in top), (common.n - sum(r.n for r in top), common.v - sum(r.v for r in top))], float)

@@ -37,3 +37,20 @@ def total(array: Column) -> Column:
 
 def columns_of(df: DataFrame) -> list[Column]:
     return [df[f"`{c}`"] for c in df.columns]
+
+
+def most_frequent(counts: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows of largest count, all of a count or none, at most `most` of them.
+
+    The bound of the count is found by two sums over the table, so tasks hand on no more
+    rows than the result has; a sorted limit would have every task send `most` rows.
+    """
+    c = F.col(count)
+    powers = [1 << k for k in range(62)]
+    n = counts.agg(*(F.count_if(c >= p).alias(f"n{k}") for k, p in enumerate(powers))).first()
+    k = next((k for k in range(len(powers)) if n[f"n{k}"] <= most), len(powers) - 1)
+    if not k:
+        return counts.where(c >= 1)
+    steps = sorted({powers[k - 1] + (powers[k] - powers[k - 1]) * j // 64 for j in range(1, 65)})
+    n = counts.agg(*(F.count_if(c >= s).alias(f"n{j}") for j, s in enumerate(steps))).first()
+    return counts.where(c >= next(s for j, s in enumerate(steps) if n[f"n{j}"] <= most))
