@@ -24,14 +24,17 @@ with equal ids are documents of their own that share a name.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.session import materialize
+from tessera.llm.common import most_frequent
+from tessera.session import drop, materialize, scratch
 
 SHINGLE, PERCENT = 5, 80
 #: A shingle in more documents than this counts as frequent; a cell with more points gets more pivots.
@@ -42,6 +45,8 @@ ANCHORS, REACH = 12, 40
 MOST_ANCHORS, MOST_LAST = 100_000, 1_000_000
 #: Further rounds of pivots for cells with many points.
 ROUNDS = 3
+#: With how many pivots a point is held at a time.
+PIVOTS = 4
 #: Bits of the filter that says which sets are needed.
 FILTER_BITS = 1 << 26
 BLOCK_BYTES = 400_000
@@ -123,6 +128,23 @@ def least_shared(n: int) -> int:
     return -(-PERCENT * n // 100)
 
 
+def lead(n: int) -> int:
+    """How many leading shingles of a set of n are held against others."""
+    return n - least_shared(n) + 1
+
+
+def enough(c: str) -> F.Column:
+    """Whether two sets share so many leading shingles that they can link.
+
+    Linked sets share a = ceil(80 (nx + ny) / 180) elements at least. The set whose leading
+    shingles end first misses at most n - a of them in the other, and those that it does
+    not miss lead there too.
+    """
+    a = F.ceil(PERCENT * (F.col("nx") + F.col("ny")) / (100 + PERCENT) - 1e-9)
+    own = lambda n: F.col(n) - F.ceil(PERCENT * F.col(n) / 100 - 1e-9) + 1 - F.col(n) + a
+    return F.col(c) >= F.least(own("nx"), own("ny"))
+
+
 def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
@@ -146,7 +168,8 @@ def points_of(docs: DataFrame) -> DataFrame:
 def frequent(docs: DataFrame, points: DataFrame, most: int = FREQUENT) -> np.ndarray:
     """The shingles of frequent passages: those near a frequent anchor that are frequent themselves; sorted."""
     hot = points.select(F.explode("anchors").alias("h")).groupBy("h").count().where(F.col("count") > most)
-    anchors = np.array(sorted(r.h for r in hot.orderBy(F.desc("count"), "h").limit(MOST_ANCHORS).select("h").collect()), np.int64)
+    hot = materialize(hot, "anchors")
+    anchors = np.array(sorted(r.h for r in most_frequent(hot, "count", MOST_ANCHORS).select("h").collect()), np.int64)
     if not len(anchors):
         return anchors
 
@@ -167,63 +190,73 @@ def frequent(docs: DataFrame, points: DataFrame, most: int = FREQUENT) -> np.nda
                 yield pd.DataFrame({"h": _signed(u), "n": n})
 
     counts = docs.select("text").mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > most)
-    return np.array(sorted(r.h for r in counts.orderBy(F.desc("n"), "h").limit(MOST_LAST).select("h").collect()), np.int64)
+    counts = materialize(counts, "frequent")
+    return np.array(sorted(r.h for r in most_frequent(counts, "n", MOST_LAST).select("h").collect()), np.int64)
 
 
-def postings(docs: DataFrame, last: np.ndarray) -> DataFrame:
-    """h, point, n for the leading shingles of each set, those in `last` put last."""
+def postings(docs: DataFrame, last: np.ndarray, wanted: Bitmap | None = None) -> DataFrame:
+    """h, point, n for the leading shingles of each set, those in `last` put last; each set once a task.
+    With `wanted`, only shingles that it holds."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         late = np.sort(last.view(np.uint64))
+        seen: set[int] = set()  # as many as the task has rows
         for b in batches:
             hs, ps, ns = [], [], []
             for h in shingles(b.text.tolist()):
                 u = np.unique(h)
                 n = len(u)
-                if n:
-                    k = n - least_shared(n) + 1
+                p = point(u)
+                if n and p not in seen:
+                    seen.add(p)
+                    k = lead(n)
                     if len(late):
                         at = np.minimum(np.searchsorted(late, u), len(late) - 1)
                         is_late = late[at] == u
                         u = np.concatenate([u[~is_late], u[is_late]]) if is_late.any() else u
-                    hs.append(u[:k])
-                    ps.append(np.full(k, point(np.sort(u)), np.int64))
-                    ns.append(np.full(k, n, np.int64))
+                    u = u[:k]
+                    if wanted is not None:
+                        u = u[wanted.has(u)]
+                    hs.append(u)
+                    ps.append(np.full(len(u), p, np.int64))
+                    ns.append(np.full(len(u), n, np.int64))
             if hs:
                 yield pd.DataFrame({"h": _signed(np.concatenate(hs)), "point": np.concatenate(ps), "n": np.concatenate(ns)})
 
     return docs.select("text").mapInPandas(run, "h long, point long, n long")
 
 
-def bit_of(column) -> F.Column:
-    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)) + 1
+class Bitmap:
+    """A bounded filter of numbers: says yes to all that it was made of, and by chance to some others."""
+
+    SIZE = 4096  # bytes of a row of Spark's bitmaps
+
+    def __init__(self, rows: DataFrame, column: str):
+        bit = F.pmod(F.col(column), F.lit(FILTER_BITS)) + 1  # of hashes or ids; bits count from 1
+        maps = rows.where(F.col(column).isNotNull()).select(bit.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m"))
+        whole = np.zeros((FILTER_BITS // (8 * self.SIZE), self.SIZE), np.uint8)
+        for r in maps.collect():  # FILTER_BITS / 8 bytes at most
+            whole[r.k - 1] = np.frombuffer(bytes(r.m), np.uint8)
+        self.send = rows.sparkSession.sparkContext.broadcast(whole.reshape(-1))
+
+    def has(self, x: np.ndarray) -> np.ndarray:
+        at = (x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64)) % FILTER_BITS
+        return (self.send.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
 def needed_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """point, hs for the documents in ids (doc_id, point). A bounded bitmap of the ids lets others go
-    before anything is shuffled; what it lets pass by chance falls out in the join."""
-    bits = ids.where("doc_id is not null").select(bit_of("doc_id").alias("b"))
-    maps = bits.groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m"))
-    own = {r.k: bytes(r.m) for r in maps.collect()}  # FILTER_BITS / 8 bytes at most
-    size = len(next(iter(own.values()))) if own else 4096
-    whole = np.zeros((FILTER_BITS // (8 * size) + 2, size), np.uint8)
-    for k, m in own.items():
-        whole[k] = np.frombuffer(m, np.uint8)
-    flat = docs.sparkSession.sparkContext.broadcast(whole)
+    """point, hs for the documents in ids (doc_id, point). A bitmap of the ids lets others go before
+    anything is shuffled; what it lets pass by chance falls out in the join."""
+    wanted = Bitmap(ids, "doc_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = flat.value
         for b in batches:
-            bit = b.bit.to_numpy()  # from 1; bucket k holds the bits 8 * size * (k - 1) + 1 and on
-            place = bit - 1
-            row, at = place // (8 * size) + 1, place % (8 * size)
-            b = b[(table[row, at // 8] >> (at % 8).astype(np.uint8)) & 1 == 1]
+            b = b[wanted.has(b.doc_id.to_numpy(np.int64))]
             if len(b):
                 out = [(point(u), _signed(u)) for u in map(np.unique, shingles(b.text.tolist()))]
                 yield pd.DataFrame({"doc_id": b.doc_id.to_numpy(), "point": [p for p, _ in out], "hs": [h for _, h in out]})
 
-    d = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", bit_of(F.col("doc_id").cast("long")).alias("bit"))
-    sets = d.mapInPandas(run, "doc_id long, point long, hs array<long>")
+    sets = docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, point long, hs array<long>")
     return sets.join(ids, ["doc_id", "point"], "left_semi").dropDuplicates(["doc_id", "point"]).select("point", "hs")
 
 
@@ -256,8 +289,11 @@ def components(edges: DataFrame) -> DataFrame:
         jump = step.select(F.col("point").alias("region"), F.col("region").alias("further"))
         new = materialize(step.join(jump, "region", "left").select("point", "old", F.coalesce("further", "region").alias("region")), "labels")
         changed = new.where("old <> region").limit(1).count()
-        labels = new.select("point", "region")
+        drop(labels)
+        path, labels = new.tessera_path, new.select("point", "region")
+        labels.tessera_path = path
         if not changed:
+            drop(both)
             return labels
 
 
@@ -265,58 +301,90 @@ def close_sizes(a: str, b: str) -> F.Column:
     return (100 * F.col(a) >= PERCENT * F.col(b)) & (100 * F.col(b) >= PERCENT * F.col(a))
 
 
-def links(docs: DataFrame, points: DataFrame) -> DataFrame | None:
-    """point, region for the points that link with others; None if none does."""
+def links(docs: DataFrame, points: DataFrame) -> DataFrame:
+    """point, region for the points that link with others."""
     last = frequent(docs, points)
-    post = postings(docs, last)
-    spread = post.groupBy("h").agg(F.min(F.struct("point", "n")).alias("pivot"), F.max("point").alias("top")).where("pivot.point < top").select("h", "pivot")
-    cells = materialize(post.join(spread, "h").select("h", F.col("point").alias("x"), F.col("n").alias("nx"), F.col("pivot.point").alias("y"), F.col("pivot.n").alias("ny")).distinct(), "cells")
-    names = points.where("n > 0").groupBy("point").agg(F.min("doc_id").alias("doc_id"))
-    ids = names.join(cells.select(F.col("x").alias("point")).distinct(), "point", "left_semi").select("doc_id", "point")
-    sets = materialize(needed_sets(docs, materialize(ids, "needed")), "sets")
-
-    known = materialize(shared_sizes(cells.where("x <> y").where(close_sizes("nx", "ny")).select("x", "y").distinct(), sets), "known")
-    edges = known.where(is_link()).select("x", "y")
+    pivots = postings(docs, last).groupBy("h").agg(F.min("point").alias("y"), F.max("point").alias("top")).where("y < top").select("h", "y")
+    pivots = materialize(pivots, "pivots")
+    release(docs)
+    shared = postings(docs, last, Bitmap(pivots, "h")).join(pivots, "h")
+    cells = materialize(shared.select("h", F.col("point").alias("x"), F.col("n").alias("nx"), "y").distinct(), "cells")
+    release(docs)
+    names = materialize(points.where("n > 0").groupBy("point").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")).join(cells.select(F.col("x").alias("point")).distinct(), "point", "left_semi"), "names")
     members = cells.select("h", "x", "nx")
-    regions = components(edges)
+    known = None
+
+    def measured(pairs: DataFrame) -> DataFrame:
+        """x, y, nx, ny, both for pairs (x, y)."""
+        ids = names.join(pairs.select(F.col("x").alias("point")).union(pairs.select("y")).distinct(), "point", "left_semi").select("doc_id", "point")
+        needed = materialize(ids, "needed")
+        sets = materialize(needed_sets(docs, needed), "sets")
+        release(docs)
+        out = materialize(shared_sizes(pairs, sets), "known")
+        drop(needed, sets)
+        release(docs)
+        return out
+
+    def to_pivots(rows: DataFrame) -> DataFrame:
+        """The pairs (x, y) of rows of cells that are worth a look now: of each point the PIVOTS pivots
+        with which it shares most cells. Others are left to the boundary."""
+        pairs = rows.groupBy("x", "nx", "y").agg(F.count("*").alias("c")).join(names.select(F.col("point").alias("y"), F.col("n").alias("ny")), "y").where(close_sizes("nx", "ny") & (F.col("c") >= F.lit(0.02) * F.col("nx")))
+        order = W.partitionBy("x").orderBy(F.desc("c"), "y")
+        return materialize(pairs.withColumn("r", F.row_number().over(order)).where(F.col("r") <= PIVOTS).select("x", "y"), "pairs")
+
+    known = measured(to_pivots(cells.where("x <> y")))
+    regions = components(known.where(is_link()).select("x", "y"))
 
     def opened(regions: DataFrame) -> DataFrame:
         """The cells that reach into several regions, with the region of each point."""
         m = members.join(regions.withColumnRenamed("point", "x"), "x", "left").select("h", "x", "nx", F.coalesce("region", "x").alias("region"))
         wide = m.groupBy("h").agg(F.min("region").alias("lo"), F.max("region").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("h", "size")
-        return m.join(wide, "h")
+        return materialize(m.join(wide, "h"), "open")
 
-    left = materialize(opened(regions), "open")
+    left = opened(regions)
     for k in range(ROUNDS):
         crowded = left.where(F.col("size") > FREQUENT)
         if not crowded.limit(1).count():
             break
-        # another pivot for each crowded cell, by another random order
-        pivot = crowded.groupBy("h").agg(F.min(F.struct(F.xxhash64("x", F.lit(k)).alias("o"), "x", "nx", "region")).alias("p"))
-        pairs = crowded.join(pivot, "h").where("region <> p.region").select("x", "nx", F.col("p.x").alias("y"), F.col("p.nx").alias("ny")).where(close_sizes("nx", "ny")).select("x", "y").distinct()
-        more = shared_sizes(pairs.join(known.select("x", "y"), ["x", "y"], "left_anti"), sets)
-        known = materialize(known.unionByName(more), "known")
-        edges = known.where(is_link()).select("x", "y")
-        regions = components(edges)
-        left = materialize(opened(regions), "open")
-
-    # the boundary: pairs from different regions of a cell, within the windows of the pivots both were held against
+        # another pivot for each crowded cell, from the smallest region by another random order
+        pivot = crowded.groupBy("h").agg(F.min(F.struct(F.xxhash64("region", F.lit(k)).alias("o"), F.col("x").alias("y"), F.col("region").alias("other"))).alias("p")).select("h", "p.y", "p.other")
+        pairs = to_pivots(crowded.join(pivot, "h").where("region <> other").select("x", "nx", "y"))
+        pairs = materialize(pairs.join(known.select("x", "y"), ["x", "y"], "left_anti"), "pairs")
+        if not pairs.limit(1).count():
+            break
+        known = materialize(known.unionByName(measured(pairs)), "known")
+        regions = components(known.where(is_link()).select("x", "y"))
+        left = opened(regions)
+
+    # the boundary: pairs from different regions that share enough cells, within the windows of a pivot both were held against
     first = cells.select("h", "x", "y").join(known.select("x", "y", distance().alias("d")), ["x", "y"], "left").select("h", "x", F.when(F.col("x") == F.col("y"), 0.0).otherwise(F.col("d")).alias("d"))
-    a = left.join(first, ["h", "x"])
+    a = left.join(first, ["h", "x"]).drop("size")
     b = a.select("h", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("region").alias("other"), F.col("d").alias("e"))
-    window = F.coalesce(F.abs(F.col("d") - F.col("e")) <= (100 - PERCENT) / 100 + 1e-9, F.lit(True))
-    pairs = a.join(b, "h").where((F.col("region") != F.col("other")) & (F.col("x") < F.col("y")) & close_sizes("nx", "ny") & window).select("x", "y").distinct()
+    outside = F.coalesce(F.abs(F.col("d") - F.col("e")) > (100 - PERCENT) / 100 + 1e-9, F.lit(False))
+    met = a.join(b, "h").where((F.col("region") != F.col("other")) & (F.col("x") < F.col("y")) & close_sizes("nx", "ny"))
+    pairs = met.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("c"), F.max(outside).alias("far")).where(enough("c") & ~F.col("far")).select("x", "y")
     done = known.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    found = shared_sizes(pairs.join(done, ["x", "y"], "left_anti"), sets).where(is_link()).select("x", "y")
-    found = materialize(found, "boundary")
-    return components(edges.union(found)) if found.limit(1).count() else regions
+    pairs = materialize(pairs.join(done, ["x", "y"], "left_anti"), "pairs")
+    release(docs)
+    if not pairs.limit(1).count():
+        return regions
+    found = measured(pairs).where(is_link()).select("x", "y")
+    return components(known.where(is_link()).select("x", "y").union(found)) if found.limit(1).count() else regions
+
+
+def release(df: DataFrame) -> None:
+    """Shuffle files of finished steps go once their plans are collected."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def group_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id of the group) for each row of docs."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     points = materialize(points_of(d), "points")
-    regions = links(d, points)
+    with scratch(docs.sparkSession) as keep:
+        regions = keep(links(d, points))
+    release(docs)
     named = points.select("doc_id", "n", "point").join(regions, "point", "left").select("doc_id", "n", F.coalesce("region", "point").alias("key"))
     least = named.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
     out = named.where("n > 0").join(least, "key").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
