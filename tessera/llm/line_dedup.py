@@ -1,7 +1,8 @@
 """Line deduplication by a tree of log templates.
 
 A line's path through the tree is its number of tokens and its first DEPTH tokens, with
-tokens that hold a digit made a wildcard; the path leads to a leaf. Within a leaf, the
+tokens that hold a digit made a wildcard (unless more than MASKED of them do); the
+path leads to a leaf. Within a leaf, the
 line form in most documents is the seed; forms that agree with it in at least SIMILAR of
 their tokens share its template (the places where they differ are its variable fields),
 other forms are templates of their own. A template in at least DOCUMENTS documents is
@@ -27,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.session import materialize
+from tessera.session import materialize, scratch
 
-DEPTH, SIMILAR, SHORT, DOCUMENTS, MOST = 3, 0.7, 32, 10, 0.5
+DEPTH, SIMILAR, MASKED, SHORT, DOCUMENTS, MOST = 3, 0.7, 0.5, 32, 10, 0.5
 _DIGIT = re.compile(r"[0-9]")
 KEY = ["__id", "__text_hash"]
 
@@ -41,7 +42,10 @@ def _hash(text: str) -> int:
 def form_of(line: str) -> list[str]:
     """The tokens of a line, variable ones as wildcards."""
     tokens = line.split()
-    return ["<*>" if _DIGIT.search(t) else t for t in tokens] if _DIGIT.search(line) else tokens
+    if not _DIGIT.search(line):
+        return tokens
+    masked = ["<*>" if _DIGIT.search(t) else t for t in tokens]
+    return masked if masked.count("<*>") <= MASKED * len(masked) else tokens
 
 
 def leaf_of(form: list[str]) -> int:
@@ -109,7 +113,8 @@ def drop_lines(docs: DataFrame, documents: int = DOCUMENTS, most: float = MOST)
             yield b[names].assign(text=kept, __lines=every, __dropped=dropped)
 
     out = T.StructType([*docs.schema.fields, T.StructField("__lines", T.LongType()), T.StructField("__dropped", T.LongType())])
-    gone = materialize(recurring(docs, documents, most), "gone")
+    with scratch(docs.sparkSession) as keep:
+        gone = keep(materialize(recurring(docs, documents, most), "gone"))
     joined = _keyed(docs).join(gone.withColumnRenamed("gone", "__gone"), KEY, "left").drop(*KEY)
     return joined.mapInPandas(run, out)
 
