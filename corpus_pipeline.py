@@ -2,36 +2,54 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet
 and read again as the docs of the next. All but the last return the columns of documents.
+So when a stage begins, the temporary tables of those before it are no longer read and go.
 """
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import jaccard_join, line_dedup, mixing, packing, quality_rules
-from tessera.session import materialize, table
+from tessera.session import drop_all, shared_dir, table
+
+
+def stage(function):
+    @functools.wraps(function)
+    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_all(spark)
+        return function(spark, docs, sf_dir)
+
+    return begin
 
 
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return quality_rules.filter_documents(docs, table(spark, sf_dir, "labels"))
 
 
+@stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines go from the texts."""
     return line_dedup.drop_lines(docs).select(*docs.columns)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return jaccard_join.one_of_each(docs)
 
 
+@stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture takes them, in training order."""
     return mixing.mix_documents(docs)
 
 
+@stage
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of packed sequences."""
     return packing.pack_documents(docs)
@@ -44,9 +62,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    docs, home = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/tessera-pipeline/{uuid.uuid4().hex}"
+    for k, (_, function) in enumerate(STAGES):
+        docs = function(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = materialize(docs, name.replace(" ", "-"))
+            docs.write.parquet(f"{home}/{k}")
+            docs = spark.read.schema(docs.schema).parquet(f"{home}/{k}")
     return docs

@@ -99,7 +99,8 @@ def with_features(docs: DataFrame, out: str = "__q") -> DataFrame:
         "dup_line_share": share(n_dup, F.col("__c.lines.n")),
         "word_length": share(c["word_chars"], c["n_words"]),
     }
-    return d.withColumn(out, F.struct(*(v.alias(k) for k, v in made.items()))).drop("__c")
+    # a generator of one row keeps filters from being pushed below, where they would repeat the work
+    return d.withColumn(out, F.explode(F.array(F.struct(*(v.alias(k) for k, v in made.items()))))).drop("__c")
 
 
 def log_gamma(x: Column) -> Column:
