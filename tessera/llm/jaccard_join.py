@@ -297,6 +297,24 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(regions: DataFrame, found: DataFrame) -> DataFrame:
+    """point, region after further links found (x, y). Only the graph of regions is searched, which is
+    far smaller than that of points; a point outside all regions is a region of its own there."""
+    named = found
+    for c in "xy":
+        named = named.join(regions.select(F.col("point").alias(c), F.col("region").alias(f"r{c}")), c, "left")
+    between = named.select(F.coalesce("rx", "x").alias("x"), F.coalesce("ry", "y").alias("y")).where("x <> y").distinct()
+    between = materialize(between, "between")
+    if not between.limit(1).count():
+        drop(between)
+        return regions
+    joined = components(between)
+    old = regions.join(joined.select(F.col("point").alias("region"), F.col("region").alias("further")), "region", "left").select("point", F.coalesce("further", "region").alias("region"))
+    out = materialize(old.unionByName(joined.join(regions, "point", "left_anti").select("point", "region")), "regions")
+    drop(between, joined)
+    return out
+
+
 def close_sizes(a: str, b: str) -> F.Column:
     return (100 * F.col(a) >= PERCENT * F.col(b)) & (100 * F.col(b) >= PERCENT * F.col(a))
 
@@ -352,8 +370,11 @@ def links(docs: DataFrame, points: DataFrame) -> DataFrame:
         pairs = materialize(pairs.join(known.select("x", "y"), ["x", "y"], "left_anti"), "pairs")
         if not pairs.limit(1).count():
             break
-        known = materialize(known.unionByName(measured(pairs)), "known")
-        regions = components(known.where(is_link()).select("x", "y"))
+        more = measured(pairs)
+        regions = merged(regions, more.where(is_link()).select("x", "y"))
+        every = materialize(known.unionByName(more), "known")
+        drop(known, more)
+        known = every
         left = opened(regions)
 
     # the boundary: pairs from different regions that share enough cells, within the windows of a pivot both were held against
@@ -368,8 +389,7 @@ def links(docs: DataFrame, points: DataFrame) -> DataFrame:
     release(docs)
     if not pairs.limit(1).count():
         return regions
-    found = measured(pairs).where(is_link()).select("x", "y")
-    return components(known.where(is_link()).select("x", "y").union(found)) if found.limit(1).count() else regions
+    return merged(regions, measured(pairs).where(is_link()).select("x", "y"))
 
 
 def release(df: DataFrame) -> None:
