@@ -2,11 +2,12 @@
 
 A line's path through the tree is its number of tokens and its first DEPTH tokens, with
 tokens that hold a digit made a wildcard (unless more than MASKED of them do); the
-path leads to a leaf. Within a leaf, the
-line form in most documents is the seed; forms that agree with it in at least SIMILAR of
-their tokens share its template (the places where they differ are its variable fields),
-other forms are templates of their own. A template in at least DOCUMENTS documents is
-recurring, and its lines are dropped.
+path leads to a leaf. A leaf holds groups, each with a seed. Its line forms come in order
+of their documents, most first: a form joins the group whose seed agrees with it in most
+tokens, SIMILAR of them at least (the places where they differ are variable fields), or
+else opens a group as its seed. A group is a template. One in at least DOCUMENTS documents
+is recurring, and its lines are dropped; so leaves with fewer forms of documents are not
+searched.
 
 A recurring line is boilerplate only as a small part of a document: where recurring
 lines hold more than MOST of a document's words, the document is a copy of others, or
@@ -19,6 +20,8 @@ equal texts count as one document. Forms are compared by 64-bit hashes.
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 from collections.abc import Iterator
 
@@ -77,20 +80,62 @@ def line_forms(docs: DataFrame) -> DataFrame:
     return d.mapInPandas(run, "__id long, __text_hash long, leaf long, form long, masked string, words int, lines array<int>")
 
 
-def templates(forms: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """form, template: what each form of the tree belongs to."""
-    count = forms.groupBy("leaf", "form").agg(F.count("*").alias("docs"), F.max("masked").alias("masked"))
-    count = materialize(count, "forms")
-    seeds = count.where("masked is not null").groupBy("leaf").agg(F.max(F.struct("docs", F.col("form").alias("seed"), F.col("masked").alias("pattern"))).alias("s")).where("s.docs > 1").select("leaf", "s.seed", "s.pattern")
-    a, b = F.split("masked", " "), F.split("pattern", " ")
-    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)) / F.size(a)
-    return count.join(seeds, "leaf", "left").select("form", F.when(F.col("masked").isNotNull() & F.col("pattern").isNotNull() & (same >= similar), F.col("seed")).otherwise(F.col("form")).alias("template"))
+@functools.cache
+def _blocks(n: int, similar: float) -> tuple[int, list[tuple[int, int]]]:
+    """How many of n tokens must agree, and the parts of which one agrees as a whole if they do.
+
+    The first DEPTH agree in a leaf; one part more than places that may differ is a part without any.
+    """
+    need = next(s for s in range(n + 1) if s / n >= similar)
+    free, parts = max(0, n - DEPTH), n - need + 1
+    cuts = [n - free + free * k // parts for k in range(parts + 1)]
+    return need, list(zip(cuts, cuts[1:]))
+
+
+class Leaf:
+    """The groups of a leaf. Seeds are found by their parts, so a form meets no others."""
+
+    def __init__(self, similar: float):
+        self.similar, self.seeds, self.parts = similar, [], {}
+
+    def template(self, form: int, tokens: list[str]) -> int:
+        """The seed of the group that a form joins or opens."""
+        need, blocks = _blocks(len(tokens), self.similar)
+        keys = [(len(tokens), k, *tokens[lo:hi]) for k, (lo, hi) in enumerate(blocks)]
+        best = need - 1, 0
+        for g in sorted({g for key in keys for g in self.parts.get(key, ())}):
+            best = max(best, (sum(map(operator.eq, self.seeds[g][1], tokens)), -g))
+        if best[0] >= need:
+            return self.seeds[-best[1]][0]
+        for key in keys:
+            self.parts.setdefault(key, []).append(len(self.seeds))
+        self.seeds.append((form, tokens))
+        return form
+
+
+def templates(forms: DataFrame, similar: float = SIMILAR, documents: int = DOCUMENTS) -> DataFrame:
+    """form, template: what each form of a leaf belongs to that can hold a recurring template."""
+    busy = materialize(forms.groupBy("leaf").count().where(F.col("count") >= documents).select("leaf"), "leaves")
+    count = forms.join(busy, "leaf", "left_semi").groupBy("leaf", "form", "masked").agg(F.count("*").alias("docs"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, leaf = None, None
+        for b in batches:
+            found = []
+            for name, form, masked in zip(b.leaf, b.form, b.masked):
+                if name != at:
+                    at, leaf = name, Leaf(similar)
+                found.append(form if masked is None else leaf.template(form, masked.split(" ")))
+            yield pd.DataFrame({"form": b.form, "template": found})
+
+    order = count.repartition("leaf").sortWithinPartitions("leaf", F.desc("docs"), "form")
+    return order.select("leaf", "form", "masked").mapInPandas(run, "form long, template long")
 
 
 def recurring(docs: DataFrame, documents: int = DOCUMENTS, most: float = MOST) -> DataFrame:
     """__id, __text_hash, gone: the numbers of the lines to drop from a document."""
     forms = materialize(line_forms(docs), "lines")
-    own = materialize(forms.select(*KEY, "form", "words", "lines").join(templates(forms), "form").drop("form"), "templates")
+    own = materialize(forms.select(*KEY, "form", "words", "lines").join(templates(forms, documents=documents), "form").drop("form"), "templates")
     often = own.select(*KEY, "template").distinct().groupBy("template").count().where(F.col("count") >= documents).select("template")
     whole = forms.groupBy(*KEY).agg(F.sum(F.col("words") * F.size("lines")).alias("__all"))
     gone = own.join(often, "template").groupBy(*KEY).agg(F.flatten(F.collect_list("lines")).alias("gone"), F.sum(F.col("words") * F.size("lines")).alias("__lost"))

@@ -249,6 +249,32 @@ def test_recurring_lines_go(spark):
     assert line_dedup.drop_lines(docs_of(spark).withColumn("form", F.lit(1))).columns[-3:] == ["form", "__lines", "__dropped"]
 
 
+def some_body(rng, n=6):
+    return "\n".join(" ".join(f"b{x}".translate(str.maketrans("0123456789", "abcdefghij")) for x in rng.integers(0, 10**6, 12)) for _ in range(n))
+
+
+def test_lines_with_variable_words_go(spark):
+    rng = np.random.default_rng(4)
+    name = [f"name{c}{d}" for c in "abcdef" for d in "uvwxyz"]
+    kinds = [lambda x: f"Posted by reader {x} this morning", lambda x: f"Sent in by {x} with kind regards", lambda x: f"Sent in by our old correspondent {x}"]
+    rows = [(i, kinds[i % 3](name[i]) + "\n" + some_body(rng), "en", "a", 0) for i in range(36)]
+    rows += [(100 + i, f"Seen here by {name[i]} only\n" + some_body(rng), "en", "a", 0) for i in range(9)]
+    d = line_dedup.line_digest(docs_of(spark, rows)).toPandas().set_index("doc_id")
+    assert (d.n_dropped[d.index < 36] == 1).all() and (d.n_dropped[d.index >= 100] == 0).all()
+
+
+def test_leaf_finds_the_best_group():
+    rng = np.random.default_rng(8)
+    for n in [*range(1, 14), 40]:
+        leaf, seeds = line_dedup.Leaf(0.7), []
+        for form in range(120):
+            tokens = [*"abc", *("xyz"[x] for x in rng.choice(3, n, p=[0.8, 0.1, 0.1]))][:n]
+            fits = [(sum(a == b for a, b in zip(t, tokens)), -s) for s, t in seeds]
+            most = max((f for f in fits if f[0] / n >= 0.7), default=None)
+            assert leaf.template(form, tokens) == (-most[1] if most else form)
+            seeds += [] if most else [(form, tokens)]
+
+
 def test_url_rules_and_model(spark):
     rows = [
         (1, "https://a.example.net/en/1?x=/de/", "a.example.net", "/en/1", "example.net/en/", "allow"), (2, "HTTP://Example.COM/de/x#t", "example.com", "/de/x", "example.com/de/", "block"),
