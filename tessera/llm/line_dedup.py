@@ -6,12 +6,11 @@ path leads to a leaf. A leaf holds groups, each with a seed. Its line forms come
 of their documents, most first: a form joins the group whose seed agrees with it in most
 tokens, SIMILAR of them at least (the places where they differ are variable fields), or
 else opens a group as its seed. A group is a template. One in at least DOCUMENTS documents
-is recurring, and its lines are dropped; so leaves with fewer forms of documents are not
-searched.
+that are no copies of each other is recurring, and its lines are dropped from every
+document; so leaves with fewer forms of documents are not searched.
 
-A recurring line is boilerplate only as a small part of a document: where recurring
-lines hold more than MOST of a document's words, the document is a copy of others, or
-nothing else, and stays whole; near-duplicate detection deals with copies.
+Copies do not make their lines recurring: of the texts that hold a template found in
+DOCUMENTS texts, those that the near-duplicate join groups count as one document.
 
 Lines end at line feeds. Lines without a token are kept. Forms over SHORT tokens are
 compared as a whole only. Null and empty texts stay as they are. Rows with equal ids and
@@ -31,9 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm import jaccard_join
 from tessera.session import materialize, scratch
 
-DEPTH, SIMILAR, MASKED, SHORT, DOCUMENTS, MOST = 3, 0.7, 0.5, 32, 10, 0.5
+DEPTH, SIMILAR, MASKED, SHORT, DOCUMENTS = 3, 0.7, 0.5, 32, 10
 _DIGIT = re.compile(r"[0-9]")
 KEY = ["__id", "__text_hash"]
 
@@ -132,17 +132,22 @@ def templates(forms: DataFrame, similar: float = SIMILAR, documents: int = DOCUM
     return order.select("leaf", "form", "masked").mapInPandas(run, "form long, template long")
 
 
-def recurring(docs: DataFrame, documents: int = DOCUMENTS, most: float = MOST) -> DataFrame:
+def recurring(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     """__id, __text_hash, gone: the numbers of the lines to drop from a document."""
     forms = materialize(line_forms(docs), "lines")
-    own = materialize(forms.select(*KEY, "form", "words", "lines").join(templates(forms, documents=documents), "form").drop("form"), "templates")
-    often = own.select(*KEY, "template").distinct().groupBy("template").count().where(F.col("count") >= documents).select("template")
-    whole = forms.groupBy(*KEY).agg(F.sum(F.col("words") * F.size("lines")).alias("__all"))
-    gone = own.join(often, "template").groupBy(*KEY).agg(F.flatten(F.collect_list("lines")).alias("gone"), F.sum(F.col("words") * F.size("lines")).alias("__lost"))
-    return gone.join(whole, KEY).where(F.col("__lost") <= most * F.col("__all")).select(*KEY, "gone")
-
-
-def drop_lines(docs: DataFrame, documents: int = DOCUMENTS, most: float = MOST) -> DataFrame:
+    own = materialize(forms.select(*KEY, "form", "lines").join(templates(forms, documents=documents), "form").drop("form"), "templates")
+    texts = own.select("__text_hash", "template").distinct()
+    often = texts.groupBy("template").count().where(F.col("count") >= documents).select("template")
+    texts = materialize(texts.join(often, "template"), "texts")
+    held = materialize(texts.select("__text_hash").distinct(), "held")
+    held = materialize(_keyed(docs.select("doc_id", "text")).join(held, "__text_hash").dropDuplicates(["__text_hash"]).select(F.col("__text_hash").alias("doc_id"), "text"), "held")
+    classes = jaccard_join.group_documents(held).select(F.col("doc_id").alias("__text_hash"), "component_id")
+    apart = texts.join(classes, "__text_hash").select("template", "component_id").distinct()
+    often = apart.groupBy("template").count().where(F.col("count") >= documents).select("template")
+    return own.join(often, "template").groupBy(*KEY).agg(F.flatten(F.collect_set("lines")).alias("gone"))
+
+
+def drop_lines(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     """docs with recurring lines dropped from text, and __lines and __dropped: the numbers of lines."""
     names = docs.columns
 
@@ -159,7 +164,7 @@ def drop_lines(docs: DataFrame, documents: int = DOCUMENTS, most: float = MOST)
 
     out = T.StructType([*docs.schema.fields, T.StructField("__lines", T.LongType()), T.StructField("__dropped", T.LongType())])
     with scratch(docs.sparkSession) as keep:
-        gone = keep(materialize(recurring(docs, documents, most), "gone"))
+        gone = keep(materialize(recurring(docs, documents), "gone"))
     joined = _keyed(docs).join(gone.withColumnRenamed("gone", "__gone"), KEY, "left").drop(*KEY)
     return joined.mapInPandas(run, out)
 

@@ -263,6 +263,19 @@ def test_lines_with_variable_words_go(spark):
     assert (d.n_dropped[d.index < 36] == 1).all() and (d.n_dropped[d.index >= 100] == 0).all()
 
 
+def test_mostly_boilerplate_goes_and_copies_stay(spark):
+    rng = np.random.default_rng(6)
+    notice = "All rights of this text remain with the house that printed it first"
+    rows = [(i, notice + "\n" + some_body(rng, 1 if i < 20 else 6).rsplit(" ", 6 if i < 20 else 0)[0], "en", "a", 0) for i in range(40)]
+    base = some_body(rng, 20).split(" ")
+    for i in range(30):
+        ws = list(base)
+        ws[int(rng.integers(0, len(ws)))] = "edited"
+        rows.append((100 + i, " ".join(ws) + "\n" + notice, "en", "a", 0))
+    d = line_dedup.line_digest(docs_of(spark, rows)).toPandas().set_index("doc_id")
+    assert (d.n_dropped == 1).all() and not d.text.str.contains(notice).any()
+
+
 def test_leaf_finds_the_best_group():
     rng = np.random.default_rng(8)
     for n in [*range(1, 14), 40]:
