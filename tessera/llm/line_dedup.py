@@ -12,9 +12,9 @@ document; so leaves with fewer forms of documents are not searched.
 Copies do not make their lines recurring: of the texts that hold a template found in
 DOCUMENTS texts, those that the near-duplicate join groups count as one document.
 
-Lines end at line feeds. Lines without a token are kept. Forms over SHORT tokens are
-compared as a whole only. Null and empty texts stay as they are. Rows with equal ids and
-equal texts count as one document. Forms are compared by 64-bit hashes.
+Lines end at line feeds. Lines without a token are kept. Null and empty texts stay as they
+are. Rows with equal ids and equal texts count as one document. Forms are told apart by
+64-bit hashes; within a leaf their tokens are compared, whatever their length.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from tessera.llm import jaccard_join
 from tessera.session import materialize, scratch
 
-DEPTH, SIMILAR, MASKED, SHORT, DOCUMENTS = 3, 0.7, 0.5, 32, 10
+DEPTH, SIMILAR, MASKED, DOCUMENTS = 3, 0.7, 0.5, 10
 _DIGIT = re.compile(r"[0-9]")
 KEY = ["__id", "__text_hash"]
 
@@ -60,7 +60,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def line_forms(docs: DataFrame) -> DataFrame:
-    """A row for each form in a document: __id, __text_hash, leaf, form, masked (of short ones), words, lines."""
+    """A row for each form in a document: __id, __text_hash, leaf, form, masked, lines."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -71,13 +71,13 @@ def line_forms(docs: DataFrame) -> DataFrame:
                     form = form_of(line)
                     if form:
                         masked = " ".join(form)
-                        at = own.setdefault(_hash(masked), [leaf_of(form), masked if len(form) <= SHORT else None, len(form), []])
-                        at[3].append(k)
-                rows += [(i, t, leaf, h, masked, n, lines) for h, (leaf, masked, n, lines) in own.items()]
-            yield pd.DataFrame(rows, columns=[*KEY, "leaf", "form", "masked", "words", "lines"])
+                        at = own.setdefault(_hash(masked), [leaf_of(form), masked, []])
+                        at[2].append(k)
+                rows += [(i, t, leaf, h, masked, lines) for h, (leaf, masked, lines) in own.items()]
+            yield pd.DataFrame(rows, columns=[*KEY, "leaf", "form", "masked", "lines"])
 
     d = _keyed(docs.select("doc_id", "text")).select(*KEY, "text")
-    return d.mapInPandas(run, "__id long, __text_hash long, leaf long, form long, masked string, words int, lines array<int>")
+    return d.mapInPandas(run, "__id long, __text_hash long, leaf long, form long, masked string, lines array<int>")
 
 
 @functools.cache
@@ -125,7 +125,7 @@ def templates(forms: DataFrame, similar: float = SIMILAR, documents: int = DOCUM
             for name, form, masked in zip(b.leaf, b.form, b.masked):
                 if name != at:
                     at, leaf = name, Leaf(similar)
-                found.append(form if masked is None else leaf.template(form, masked.split(" ")))
+                found.append(leaf.template(form, masked.split(" ")))
             yield pd.DataFrame({"form": b.form, "template": found})
 
     order = count.repartition("leaf").sortWithinPartitions("leaf", F.desc("docs"), "form")

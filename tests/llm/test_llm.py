@@ -276,6 +276,15 @@ def test_mostly_boilerplate_goes_and_copies_stay(spark):
     assert (d.n_dropped == 1).all() and not d.text.str.contains(notice).any()
 
 
+def test_long_lines_with_variable_words_go(spark):
+    rng = np.random.default_rng(7)
+    words = some_body(rng, 5).split()
+    name = [f"name{c}" for c in "abcdefghijklmnop"]
+    rows = [(i, " ".join([*words[:40], name[i], *words[40:]]) + "\n" + some_body(rng, 12), "en", "a", 0) for i in range(16)]
+    d = line_dedup.line_digest(docs_of(spark, rows)).toPandas()
+    assert (d.n_dropped == 1).all() and not d.text.str.contains("name").any()
+
+
 def test_leaf_finds_the_best_group():
     rng = np.random.default_rng(8)
     for n in [*range(1, 14), 40]:
