@@ -45,8 +45,11 @@ def references(requests: DataFrame, chunks: DataFrame) -> DataFrame:
     text = chunks.where(F.length("content") >= 3).withColumn("__g", F.explode(grams(F.col("content"))))
     holds = F.contains("content", F.col("symbol")) & (F.coalesce("symbol_name", F.lit("")) != F.col("symbol"))
     found = long.join(text, "__g").where(holds)
-    short = requests.where(F.length("symbol").between(1, 2))
-    every = chunks.join(F.broadcast(short.limit(1000)), holds)  # names of one or two letters, a bounded part of the requests
+    # names of one or two letters: by the distinct letters and pairs of letters of each chunk
+    parts = lambda n: F.transform(F.sequence(F.lit(1), F.length("content") - (n - 1)), lambda i: F.substring(F.col("content"), i, F.lit(n)))
+    pairs = F.when(F.length("content") >= 2, parts(2)).otherwise(F.array().cast("array<string>"))
+    short = requests.where(F.length("symbol").between(1, 2)).withColumn("__g", F.col("symbol"))
+    every = short.join(chunks.where(F.length("content") >= 1).withColumn("__g", F.explode(F.array_distinct(F.concat(parts(1), pairs)))), "__g").where(holds)
     return found.select("request_id", "file_path", *_range(found)).unionByName(every.select("request_id", "file_path", *_range(every)))
 
 

@@ -184,3 +184,26 @@ def test_paths(tmp_path):
             access.safe_path(bad)
     with pytest.raises(access.ForbiddenPath):
         access.safe_path(str(tmp_path / ".." / "y"), [str(tmp_path)])
+
+
+def test_many_short_symbols_are_all_answered(spark):
+    from tessera.operators import navigation
+
+    requests = spark.createDataFrame([(i, ("q", "ab", "é", "zz")[i % 4]) for i in range(4800)], "request_id long, symbol string")
+    rows = [("f", 1, 2, None, "q = ab"), ("g", 3, 4, "q", "q é"), ("h", 5, 6, "x", "a"), ("i", 7, 8, "y", "q"), ("j", 9, 9, "z", ""), ("k", 9, 9, "z", None)]
+    chunks = spark.createDataFrame(rows, "file_path string, start_line int, end_line int, symbol_name string, content string")
+    got = sorted((r.request_id, r.file_path) for r in navigation.references(requests, chunks).collect())
+    assert got == sorted((r.request_id, f) for r in requests.collect() for f, _, _, name, text in rows if r.symbol in (text or "") and name != r.symbol)
+
+
+def test_knn_native_refuses_what_it_would_cut(spark, monkeypatch):
+    import pytest
+
+    from tessera.operators import dense
+
+    monkeypatch.setattr(dense, "MOST_QUERIES", 3)
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(4)], "chunk_id long, embedding array<float>")
+    q = v.withColumnRenamed("chunk_id", "query_id")
+    assert dense.knn_native(v, q.where("query_id < 3"), 2).count() == 6
+    with pytest.raises(ValueError):
+        dense.knn_native(v, q, 2)
