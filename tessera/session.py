@@ -20,13 +20,14 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .getOrCreate()
     )
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    _prepare(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,7 +35,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
-def _prepare(spark: SparkSession) -> None:
+def prepare(spark: SparkSession) -> None:
+    """Lets Python workers find the package, and keeps their batches small."""
     # Python workers of a local session start elsewhere; a cluster gets the package by --py-files
     spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -63,7 +65,7 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     Cuts the lineage, survives lost executors and lets later plans see real sizes.
     """
     spark = df.sparkSession
-    _prepare(spark)
+    prepare(spark)
     path = f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
