@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from tessera.session import prepare
 
 #: Runs of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,6 +36,23 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def map_batches(df: DataFrame, schema: str | T.StructType, run: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]]) -> DataFrame:
+    """df through run, which takes Arrow batches and gives columns by name: lists, NumPy or Arrow arrays.
+
+    Values go as they are: a long next to a null stays a long.
+    """
+    prepare(df.sparkSession)
+    struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    fields = to_arrow_schema(struct)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for made in run(batches):
+            columns = [made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], f.type) for f in fields]
+            yield pa.RecordBatch.from_arrays(columns, names=fields.names)
+
+    return df.mapInArrow(go, struct)
+
+
 def total(array: Column) -> Column:
     return F.aggregate(array, F.lit(0).cast("long"), lambda a, x: a + x)
 

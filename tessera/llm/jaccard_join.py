@@ -1,25 +1,36 @@
 """N-gram Jaccard join: groups of documents whose word shingles overlap, by pivots in a metric space.
 
 A document is the set of its distinct five-word shingles; 1 - Jaccard similarity is a
-metric on sets. Documents with equal sets are one point. Two points within RADIUS of
-each other share one of the first n - ceil(0.8 n) + 1 shingles of each in any common
-order, so every such shingle spans a cell of points that can be close. The order puts
-the shingles of very frequent passages last, which keeps cells small; it decides about
-the work only, never about the result.
-
-In each cell a pivot is drawn and its exact distance to the other points is worked out:
-points within RADIUS are linked, which makes a Voronoi region of linked points about
-each pivot. Cells that lie in one region are done. In the others, pairs from different
-regions are left. Cells with many points first get further pivots, chosen from
-regions that have had none (the regions join recursively). Then the boundary is
-compared: by the triangle inequality two points can only be close if their distances
-to each pivot they share differ by RADIUS at most; such pairs are worked out exactly.
-So no link between different sets is lost and groups of copies never give all their pairs.
+metric on sets. Documents with equal sets are one point. Sets that share nothing are
+all at distance 1, where no pivot can tell them apart, so the space is first cut into
+cells: two points within RADIUS of each other share one of the first n - ceil(0.8 n) + 1
+shingles of each in any common order, and the points with one such shingle are a cell.
+The order puts frequent shingles last, the most frequent at the very end; it decides
+about the work only, never about the result.
+
+Each cell gets a pivot, its point of least hash, so that the cells of a cluster choose the
+same one. About a pivot p there are three zones: the core within RADIUS (linked with p), the
+border up to twice RADIUS, and what is far. By the triangle inequality
+  - two points of the core are one group already, whatever their distance;
+  - a far point links with none of the core;
+  - a border point x links only with those of the core at RADIUS less than itself at least.
+So core and border of a pivot make one region, whichever cells they were met in. It is dealt
+into rings by distance; border points are replicated to the rings in their window and
+compared there. Far points go on with the border, in their cells, which get another pivot;
+this recurs until a cell has few points left (or pivots cease to part its points), which
+are then compared with each other.
+
+A distance is first bounded from below by a parity sketch (two sets differ in at least
+as many elements as their sketches in bits); only pairs that may link by that bound are worked
+out over the whole sets. A bound from below is all that the border and the far zone need.
+So no link between different sets is lost, and a group of copies never gives all its pairs.
 
 Shingles are compared by 64-bit hashes, and so are sets: n distinct sets collide with
 a probability of n * n / 2 ** 65. Null and empty texts have no shingles and are linked
 with nothing, not even each other; a text of one to four words is one shingle. Rows
-with equal ids are documents of their own that share a name.
+with equal ids are documents of their own that share a name. Rows with a null id take part
+like others; their group has the least id that is not null, or null. Other columns, whatever
+their names, pass through one_of_each.
 """
 
 from __future__ import annotations
@@ -28,27 +39,30 @@ import gc
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import most_frequent
+from tessera.llm.common import WORD, map_batches, most_frequent
 from tessera.session import drop, materialize, scratch
 
 SHINGLE, PERCENT = 5, 80
-#: A shingle in more documents than this counts as frequent; a cell with more points gets more pivots.
+RADIUS = (100 - PERCENT) / 100
+#: Rings of a region to a RADIUS.
+RINGS = 4
+#: A shingle that leads in more points counts as frequent; a cell with more open points gets another pivot.
 FREQUENT = 64
+#: How many pivots a crowded cell gets at a time: the first parts it, all of them link what is near.
+PIVOTS = 8
 #: One shingle in so many is an anchor: frequent passages are found by their anchors.
 ANCHORS, REACH = 12, 40
-#: The most anchors and shingles that are put last: 8 bytes each reach every executor.
+#: The most anchors and shingles that are put last: 9 bytes each reach every executor.
 MOST_ANCHORS, MOST_LAST = 100_000, 1_000_000
-#: Further rounds of pivots for cells with many points.
-ROUNDS = 3
-#: With how many pivots a point is held at a time.
-PIVOTS = 4
-#: Bits of the filter that says which sets are needed.
-FILTER_BITS = 1 << 26
+#: Longs of a parity sketch.
+LONGS = 16
+#: Bits of the filter that says which sets are needed: 16 a set, but no more than these.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 BLOCK_BYTES = 400_000
 
 _R = 0x9E3779B97F4A7C15
@@ -133,51 +147,80 @@ def lead(n: int) -> int:
     return n - least_shared(n) + 1
 
 
-def enough(c: str) -> F.Column:
-    """Whether two sets share so many leading shingles that they can link.
-
-    Linked sets share a = ceil(80 (nx + ny) / 180) elements at least. The set whose leading
-    shingles end first misses at most n - a of them in the other, and those that it does
-    not miss lead there too.
-    """
-    a = F.ceil(PERCENT * (F.col("nx") + F.col("ny")) / (100 + PERCENT) - 1e-9)
-    own = lambda n: F.col(n) - F.ceil(PERCENT * F.col(n) / 100 - 1e-9) + 1 - F.col(n) + a
-    return F.col(c) >= F.least(own("nx"), own("ny"))
+def sketch(u: np.ndarray) -> np.ndarray:
+    """For each bit the parity of the elements that fall on it; LONGS longs."""
+    odd = np.bincount((u >> np.uint64(20)) % np.uint64(64 * LONGS), minlength=64 * LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))
+
+
+def _texts(batch: pa.RecordBatch) -> list[str | None]:
+    return batch.column("text").to_pylist()
+
+
 def points_of(docs: DataFrame) -> DataFrame:
-    """doc_id, n, point, anchors."""
+    """doc_id, t, n, point, anchors and the longs of the sketch, s0 and on. docs: doc_id, t, text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            out = []
-            for i, h in zip(b.doc_id.astype("Int64"), shingles(b.text.tolist())):
-                u = np.unique(h)
-                out.append((i, len(u), point(u), _signed(u[u % np.uint64(ANCHORS) == 0]).tolist()))
-            d = pd.DataFrame(out, columns=["doc_id", "n", "point", "anchors"])
-            d["doc_id"] = d.doc_id.astype("Int64")
-            yield d
+            us = [np.unique(h) for h in shingles(_texts(b))]
+            made = {"doc_id": b.column("doc_id"), "t": b.column("t"), "n": [len(u) for u in us], "point": [point(u) for u in us]}
+            longs = np.array([sketch(u) for u in us], np.int64).reshape(len(us), LONGS)
+            yield made | {"anchors": _lists([_signed(u[u % np.uint64(ANCHORS) == 0]) for u in us])} | {f"s{k}": longs[:, k] for k in range(LONGS)}
+
+    longs = ", ".join(f"s{k} long" for k in range(LONGS))
+    return map_batches(docs.select("doc_id", "t", "text"), f"doc_id long, t long, n long, point long, anchors array<long>, {longs}", run)
+
+
+class Last:
+    """The frequent shingles, sorted, and for each how frequent: the base-2 logarithm of its count."""
+
+    def __init__(self, h: np.ndarray, count: np.ndarray):
+        at = np.argsort(h.view(np.uint64), kind="stable")
+        self.h, self.level = h.view(np.uint64)[at], np.log2(np.maximum(count[at], 2)).astype(np.int8)
+
+    def levels(self, u: np.ndarray) -> np.ndarray:
+        """0 for shingles that are not frequent."""
+        if not len(self.h):
+            return np.zeros(len(u), np.int8)
+        at = np.minimum(np.searchsorted(self.h, u), len(self.h) - 1)
+        return np.where(self.h[at] == u, self.level[at], 0).astype(np.int8)
+
+    def with_more(self, h: np.ndarray, count: np.ndarray) -> Last:
+        out = Last(np.empty(0, np.int64), np.empty(0))
+        both = np.concatenate([self.h, h.view(np.uint64)])
+        at = np.argsort(both, kind="stable")
+        out.h, out.level = both[at], np.concatenate([self.level, np.log2(np.maximum(count, 2)).astype(np.int8)])[at]
+        return out
+
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, point long, anchors array<long>")
+def _collected(rows: DataFrame, count: str, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """h and count of the rows of largest count, `most` at most."""
+    got = most_frequent(rows, count, most).select("h", count).collect()
+    return np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got], np.int64)
 
 
-def frequent(docs: DataFrame, points: DataFrame, most: int = FREQUENT) -> np.ndarray:
-    """The shingles of frequent passages: those near a frequent anchor that are frequent themselves; sorted."""
-    hot = points.select(F.explode("anchors").alias("h")).groupBy("h").count().where(F.col("count") > most)
+def frequent(docs: DataFrame, points: DataFrame, most: int = FREQUENT) -> Last:
+    """The shingles of frequent passages: those near a frequent anchor that are frequent themselves."""
+    hot = points.select(F.explode("anchors").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > most)
     hot = materialize(hot, "anchors")
-    anchors = np.array(sorted(r.h for r in most_frequent(hot, "count", MOST_ANCHORS).select("h").collect()), np.int64)
+    anchors = np.sort(_collected(hot, "n", MOST_ANCHORS)[0])
     if not len(anchors):
-        return anchors
+        return Last(anchors, anchors)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         own = anchors.view(np.uint64)
         for b in batches:
             near = []
-            for h in shingles(b.text.tolist()):
+            for h in shingles(_texts(b)):
                 can = h[h % np.uint64(ANCHORS) == 0]
                 if len(can) and np.isin(can, own).any():
                     at = np.flatnonzero(np.isin(h, own))
@@ -187,92 +230,139 @@ def frequent(docs: DataFrame, points: DataFrame, most: int = FREQUENT) -> np.nda
                     near.append(np.unique(h[np.cumsum(mark[:-1]) > 0]))
             if near:
                 u, n = np.unique(np.concatenate(near), return_counts=True)
-                yield pd.DataFrame({"h": _signed(u), "n": n})
+                yield {"h": _signed(u), "n": n}
 
-    counts = docs.select("text").mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > most)
-    counts = materialize(counts, "frequent")
-    return np.array(sorted(r.h for r in most_frequent(counts, "n", MOST_LAST).select("h").collect()), np.int64)
+    counts = map_batches(docs.select("text"), "h long, n long", run).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > most)
+    return Last(*_collected(materialize(counts, "frequent"), "n", MOST_LAST))
 
 
-def postings(docs: DataFrame, last: np.ndarray, wanted: Bitmap | None = None) -> DataFrame:
-    """h, point, n for the leading shingles of each set, those in `last` put last; each set once a task.
-    With `wanted`, only shingles that it holds."""
+def postings(docs: DataFrame, last: Last) -> DataFrame:
+    """h, x for the leading shingles of each set; each set once a task."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        late = np.sort(last.view(np.uint64))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         seen: set[int] = set()  # as many as the task has rows
         for b in batches:
-            hs, ps, ns = [], [], []
-            for h in shingles(b.text.tolist()):
+            hs, xs = [], []
+            for h in shingles(_texts(b)):
                 u = np.unique(h)
-                n = len(u)
-                p = point(u)
-                if n and p not in seen:
-                    seen.add(p)
-                    k = lead(n)
-                    if len(late):
-                        at = np.minimum(np.searchsorted(late, u), len(late) - 1)
-                        is_late = late[at] == u
-                        u = np.concatenate([u[~is_late], u[is_late]]) if is_late.any() else u
-                    u = u[:k]
-                    if wanted is not None:
-                        u = u[wanted.has(u)]
+                x = point(u)
+                if len(u) and x not in seen:
+                    seen.add(x)
+                    k, level = lead(len(u)), last.levels(u)
+                    u = u[:k] if not level.any() else u[np.lexsort((u, level))[:k]]
                     hs.append(u)
-                    ps.append(np.full(len(u), p, np.int64))
-                    ns.append(np.full(len(u), n, np.int64))
+                    xs.append(np.full(k, x, np.int64))
             if hs:
-                yield pd.DataFrame({"h": _signed(np.concatenate(hs)), "point": np.concatenate(ps), "n": np.concatenate(ns)})
-
-    return docs.select("text").mapInPandas(run, "h long, point long, n long")
+                yield {"h": _signed(np.concatenate(hs)), "x": np.concatenate(xs)}
+
+    return map_batches(docs.select("text"), "h long, x long", run)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Of rows in the order of h and x: those of each h that has several, with its first x as p."""
+    held = None  # the last row: h, x, p, and whether it is out
+    for b in batches:
+        h, x = b.column("h").to_numpy(), b.column("x").to_numpy()
+        if held:
+            h, x = np.concatenate([[held[0]], h]), np.concatenate([[held[1]], x])
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (x[1:] != x[:-1])])
+        h, x = h[new], x[new]
+        start = np.concatenate([[True], h[1:] != h[:-1]])
+        at = np.maximum.accumulate(np.where(start, np.arange(len(h)), 0))
+        p = x[at]
+        if held:
+            p[at == 0] = held[2]
+        out = (p != x) | np.concatenate([~start[1:], [False]])
+        last = bool(out[-1])
+        if held:
+            last = last or len(h) == 1 and held[3]
+            out[0] &= not held[3]
+        held = int(h[-1]), int(x[-1]), int(p[-1]), last
+        yield {"h": h[out], "x": x[out], "p": p[out]}
+
+
+def cells_of(docs: DataFrame, last: Last) -> DataFrame:
+    """h, x, p: the cells with several points and the pivot of each."""
+    rows = postings(docs, last).repartition("h").sortWithinPartitions("h", "x")
+    return materialize(map_batches(rows, "h long, x long, p long", _shared), "cells")
+
+
+def cells(docs: DataFrame, points: DataFrame) -> DataFrame:
+    """The cells, once the shingles that make crowded ones are known as frequent. The order of shingles
+    is made anew while shingles not yet known as frequent hold over a fiftieth of the rows."""
+    last = frequent(docs, points)
+    while True:
+        out = cells_of(docs, last)
+        crowd = materialize(out.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > FREQUENT), "crowd")
+        h, n = _collected(crowd, "n", MOST_LAST)
+        fresh = last.levels(h.view(np.uint64)) == 0
+        room = MOST_LAST - len(last.h)
+        if 50 * int(n[fresh].sum()) <= out.count() or fresh.sum() > room:
+            drop(crowd)
+            return out
+        last = last.with_more(h[fresh], n[fresh])
+        drop(out, crowd)
+        release(docs)
 
 
 class Bitmap:
-    """A bounded filter of numbers: says yes to all that it was made of, and by chance to some others."""
+    """A bounded filter of numbers: says yes to all that it was made of, and by chance to some others
+    (to most, where there are more than MOST_BITS; then the join that follows has more to drop)."""
 
     SIZE = 4096  # bytes of a row of Spark's bitmaps
 
     def __init__(self, rows: DataFrame, column: str):
-        bit = F.pmod(F.col(column), F.lit(FILTER_BITS)) + 1  # of hashes or ids; bits count from 1
-        maps = rows.where(F.col(column).isNotNull()).select(bit.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m"))
-        whole = np.zeros((FILTER_BITS // (8 * self.SIZE), self.SIZE), np.uint8)
-        for r in maps.collect():  # FILTER_BITS / 8 bytes at most
+        self.bits = LEAST_BITS
+        wanted = 16 * rows.count()
+        while self.bits < min(wanted, MOST_BITS):
+            self.bits *= 2
+        bit = F.pmod(F.col(column), F.lit(self.bits)) + 1  # of hashes; bits count from 1
+        maps = rows.select(bit.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m"))
+        whole = np.zeros((self.bits // (8 * self.SIZE), self.SIZE), np.uint8)
+        for r in maps.collect():  # bits / 8 bytes at most
             whole[r.k - 1] = np.frombuffer(bytes(r.m), np.uint8)
         self.send = rows.sparkSession.sparkContext.broadcast(whole.reshape(-1))
 
     def has(self, x: np.ndarray) -> np.ndarray:
-        at = (x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64)) % FILTER_BITS
+        at = x % self.bits
         return (self.send.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
 def needed_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """point, hs for the documents in ids (doc_id, point). A bitmap of the ids lets others go before
+    """point, hs for the texts in ids (t, point). A bitmap of the texts' hashes lets others go before
     anything is shuffled; what it lets pass by chance falls out in the join."""
-    wanted = Bitmap(ids, "doc_id")
+    wanted = Bitmap(ids, "t")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        seen: set[int] = set()
         for b in batches:
-            b = b[wanted.has(b.doc_id.to_numpy(np.int64))]
-            if len(b):
-                out = [(point(u), _signed(u)) for u in map(np.unique, shingles(b.text.tolist()))]
-                yield pd.DataFrame({"doc_id": b.doc_id.to_numpy(), "point": [p for p, _ in out], "hs": [h for _, h in out]})
+            t = b.column("t").to_numpy()
+            at = [int(k) for k in np.flatnonzero(wanted.has(t)) if int(t[k]) not in seen and not seen.add(int(t[k]))]
+            if at:
+                us = [np.unique(h) for h in shingles(b.column("text").take(pa.array(at)).to_pylist())]
+                yield {"t": t[at], "point": [point(u) for u in us], "hs": _lists([_signed(u) for u in us])}
+
+    sets = map_batches(docs.select("t", "text"), "t long, point long, hs array<long>", run)
+    return sets.join(ids, ["t", "point"], "left_semi").dropDuplicates(["point"]).select("point", "hs")
 
-    sets = docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, point long, hs array<long>")
-    return sets.join(ids, ["doc_id", "point"], "left_semi").dropDuplicates(["doc_id", "point"]).select("point", "hs")
 
+def is_link(x: str = "nx", y: str = "ny") -> Column:
+    return 100 * F.col("both") >= PERCENT * (F.col(x) + F.col(y) - F.col("both"))
 
-def shared_sizes(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """x, y, nx, ny, both: the sizes of two sets and of what they share."""
-    a = pairs.join(sets.select(F.col("point").alias("x"), F.col("hs").alias("hx")), "x")
-    b = a.join(sets.select(F.col("point").alias("y"), F.col("hs").alias("hy")), "y")
-    return b.select("x", "y", F.size("hx").cast("long").alias("nx"), F.size("hy").cast("long").alias("ny"), F.size(F.array_intersect("hx", "hy")).cast("long").alias("both"))
 
+def apart() -> Column:
+    """How many elements two sets differ in at least: by their sketches (a0.., b0..) and sizes (nx, ny)."""
+    bits = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(1, LONGS)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
+    return F.greatest(bits.cast("long"), F.abs(F.col("nx") - F.col("ny")))
 
-def is_link() -> F.Column:
-    return 100 * F.col("both") >= PERCENT * (F.col("nx") + F.col("ny") - F.col("both"))
 
+def may_link(differ: Column) -> Column:
+    return (100 + PERCENT) * differ <= (100 - PERCENT) * (F.col("nx") + F.col("ny"))
 
-def distance() -> F.Column:
-    return 1 - F.col("both") / (F.col("nx") + F.col("ny") - F.col("both"))
+
+def at_least(differ: Column) -> Column:
+    """The distance of sets that differ in so many elements, or more."""
+    return 2 * differ / (F.col("nx") + F.col("ny") + differ)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -315,81 +405,125 @@ def merged(regions: DataFrame, found: DataFrame) -> DataFrame:
     return out
 
 
-def close_sizes(a: str, b: str) -> F.Column:
-    return (100 * F.col(a) >= PERCENT * F.col(b)) & (100 * F.col(b) >= PERCENT * F.col(a))
+def named(names: DataFrame, as_point: str, as_n: str, longs: str) -> DataFrame:
+    return names.select(F.col("point").alias(as_point), F.col("n").alias(as_n), *(F.col(f"s{k}").alias(f"{longs}{k}") for k in range(LONGS)))
 
 
-def links(docs: DataFrame, points: DataFrame) -> DataFrame:
-    """point, region for the points that link with others."""
-    last = frequent(docs, points)
-    pivots = postings(docs, last).groupBy("h").agg(F.min("point").alias("y"), F.max("point").alias("top")).where("y < top").select("h", "y")
-    pivots = materialize(pivots, "pivots")
-    release(docs)
-    shared = postings(docs, last, Bitmap(pivots, "h")).join(pivots, "h")
-    cells = materialize(shared.select("h", F.col("point").alias("x"), F.col("n").alias("nx"), "y").distinct(), "cells")
-    release(docs)
-    names = materialize(points.where("n > 0").groupBy("point").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")).join(cells.select(F.col("x").alias("point")).distinct(), "point", "left_semi"), "names")
-    members = cells.select("h", "x", "nx")
-    known = None
-
-    def measured(pairs: DataFrame) -> DataFrame:
-        """x, y, nx, ny, both for pairs (x, y)."""
-        ids = names.join(pairs.select(F.col("x").alias("point")).union(pairs.select("y")).distinct(), "point", "left_semi").select("doc_id", "point")
-        needed = materialize(ids, "needed")
-        sets = materialize(needed_sets(docs, needed), "sets")
-        release(docs)
-        out = materialize(shared_sizes(pairs, sets), "known")
+class Join:
+    """The recursion over cells. pairs: candidates (x, y) still to be worked out; regions: the groups so far."""
+
+    def __init__(self, docs: DataFrame, names: DataFrame):
+        self.docs, self.names = docs, names
+        self.pairs: list[DataFrame] = []
+        self.regions: DataFrame | None = None
+
+    def measured(self, pairs: DataFrame) -> DataFrame:
+        """x, y, nx, ny, both for pairs (x, y), from the whole sets."""
+        points = pairs.select(F.col("x").alias("point")).union(pairs.select("y")).distinct()
+        needed = materialize(self.names.select("point", "t").join(points, "point", "left_semi"), "needed")
+        sets = materialize(needed_sets(self.docs, needed), "sets")
+        # first the side that may be one pivot for many: these rows are small
+        a = pairs.join(sets.select(F.col("point").alias("y"), F.col("hs").alias("hy")), "y")
+        b = a.join(sets.select(F.col("point").alias("x"), F.col("hs").alias("hx")), "x")
+        out = b.select("x", "y", F.size("hx").cast("long").alias("nx"), F.size("hy").cast("long").alias("ny"), F.size(F.array_intersect("hx", "hy")).cast("long").alias("both"))
+        out = materialize(out, "known")
         drop(needed, sets)
-        release(docs)
         return out
 
-    def to_pivots(rows: DataFrame) -> DataFrame:
-        """The pairs (x, y) of rows of cells that are worth a look now: of each point the PIVOTS pivots
-        with which it shares most cells. Others are left to the boundary."""
-        pairs = rows.groupBy("x", "nx", "y").agg(F.count("*").alias("c")).join(names.select(F.col("point").alias("y"), F.col("n").alias("ny")), "y").where(close_sizes("nx", "ny") & (F.col("c") >= F.lit(0.02) * F.col("nx")))
-        order = W.partitionBy("x").orderBy(F.desc("c"), "y")
-        return materialize(pairs.withColumn("r", F.row_number().over(order)).where(F.col("r") <= PIVOTS).select("x", "y"), "pairs")
-
-    known = measured(to_pivots(cells.where("x <> y")))
-    regions = components(known.where(is_link()).select("x", "y"))
-
-    def opened(regions: DataFrame) -> DataFrame:
-        """The cells that reach into several regions, with the region of each point."""
-        m = members.join(regions.withColumnRenamed("point", "x"), "x", "left").select("h", "x", "nx", F.coalesce("region", "x").alias("region"))
-        wide = m.groupBy("h").agg(F.min("region").alias("lo"), F.max("region").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("h", "size")
-        return materialize(m.join(wide, "h"), "open")
-
-    left = opened(regions)
-    for k in range(ROUNDS):
-        crowded = left.where(F.col("size") > FREQUENT)
-        if not crowded.limit(1).count():
-            break
-        # another pivot for each crowded cell, from the smallest region by another random order
-        pivot = crowded.groupBy("h").agg(F.min(F.struct(F.xxhash64("region", F.lit(k)).alias("o"), F.col("x").alias("y"), F.col("region").alias("other"))).alias("p")).select("h", "p.y", "p.other")
-        pairs = to_pivots(crowded.join(pivot, "h").where("region <> other").select("x", "nx", "y"))
-        pairs = materialize(pairs.join(known.select("x", "y"), ["x", "y"], "left_anti"), "pairs")
+    def zones(self, open_cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """x, p, d, zone (0 core, 1 border, 2 far) for the points and pivots that share a cell; and the links
+        found, those with the cells' other pivots too."""
+        rows = open_cells.select("x", "p", F.lit(True).alias("parts"))
+        if "others" in open_cells.columns:
+            rows = rows.union(open_cells.select("x", F.explode("others"), F.lit(False)))
+        rows = rows.where("x <> p").groupBy("x", "p").agg(F.max("parts").alias("parts"))
+        rows = rows.join(named(self.names, "x", "nx", "a"), "x").join(named(self.names, "p", "ny", "b"), "p").select("x", "p", "parts", "nx", "ny", apart().alias("differ"))
+        rows = materialize(rows.select("x", "p", "parts", may_link(F.col("differ")).alias("may"), at_least(F.col("differ")).alias("d")), "bounds")
+        known = self.measured(rows.where("may").select("x", F.col("p").alias("y")))
+        exact = known.select("x", F.col("y").alias("p"), is_link().alias("link"), (1 - F.col("both") / (F.col("nx") + F.col("ny") - F.col("both"))).alias("e"))
+        both = rows.where("parts").join(exact, ["x", "p"], "left").select("x", "p", F.coalesce("e", "d").alias("d"), F.coalesce("link", F.lit(False)).alias("link"))
+        zone = F.when(F.col("link"), 0).when(F.col("d") <= 2 * RADIUS + 1e-9, 1).otherwise(2)
+        return both.select("x", "p", "d", zone.alias("zone")), known.where(is_link()).select("x", "y")
+
+    def in_regions(self, rows: DataFrame) -> DataFrame:
+        """rows with the region of x so far; a point without links is a region of its own."""
+        known = self.regions.select(F.col("point").alias("x"), "region")
+        return rows.join(known, "x", "left").withColumn("region", F.coalesce("region", "x"))
+
+    def met(self, left: DataFrame, right: DataFrame, on: list[str], both: str) -> None:
+        """Candidates from rows x of left and y of right that agree on the columns `on` and lie in different
+        regions. both: the zone of right in which each pair is met from either side."""
+        a = left.join(named(self.names, "x", "nx", "a"), "x")
+        r = right.select(*on, F.col("x").alias("y"), F.col("zone").alias("zone_y"), F.col("region").alias("other")).join(named(self.names, "y", "ny", "b"), "y")
+        once = (F.col("zone_y") != F.lit(both)) | (F.col("x") < F.col("y"))
+        pairs = a.join(r, on).where((F.col("region") != F.col("other")) & once & may_link(apart()))
+        self.pairs.append(materialize(pairs.select("x", "y"), "met"))
+
+    def borders(self, inner: DataFrame) -> None:
+        """Compares the border of each pivot with its core and with itself, ring by ring. inner: x, p, d, zone, region."""
+        ring = lambda d: F.floor(d * RINGS / RADIUS).cast("int")
+        # the window of a border point: from its distance less RADIUS to the border's end
+        low = F.greatest(F.lit(0), ring(F.col("d") - RADIUS - 1e-6))
+        left = inner.where("zone = 1").withColumn("ring", F.explode(F.sequence(low, F.lit(2 * RINGS)))).select("x", "p", "ring", "region")
+        self.met(left, inner.withColumn("ring", F.least(ring(F.col("d")), F.lit(2 * RINGS))), ["p", "ring"], both=1)
+
+    def leaves(self, rest: DataFrame) -> None:
+        """Compares the far points of cells with the far ones and the border. rest: h, x, zone, region."""
+        self.met(rest.where("zone = 2").select("h", "x", "region"), rest, ["h"], both=2)
+
+    @staticmethod
+    def work(rows: DataFrame, key: str, zone: int) -> DataFrame:
+        """key, work (pairs of points of the zone with others, of different regions), pivots (some of the zone)."""
+        own = F.col("zone") == zone
+        drawn = [F.min(F.when(own, F.struct(F.xxhash64("x", F.lit(k)).alias("o"), "x"))).alias(f"x{k}") for k in range(PIVOTS)]
+        parts = rows.groupBy(key, "region").agg(F.count_if(own).alias("k"), F.count("*").alias("n"), *drawn)
+        work = F.sum("k") * F.sum("n") - F.sum(F.col("k") * F.col("n"))
+        whole = parts.groupBy(key).agg(work.alias("work"), F.array(*(F.min(f"x{k}")["x"] for k in range(PIVOTS))).alias("pivots"))
+        return materialize(whole.where("work > 0"), "work")
+
+    def run(self, found: DataFrame) -> DataFrame:
+        """point, region of the points that link. found: h, x, p (and others: further pivots)."""
+        open_cells, crowded_before = found, None
+        while True:
+            zones, links = self.zones(open_cells)
+            self.regions = merged(self.regions, links) if self.regions else components(links)
+            zones = materialize(self.in_regions(zones), "zones")
+            rest = materialize(open_cells.join(zones, ["x", "p"]).where("zone > 0").select("h", "x", "zone", "region"), "rest")
+            inner, outer = self.work(zones.where("zone < 2"), "p", 1), self.work(rest, "h", 2)
+            is_crowded = F.col("work") > FREQUENT * FREQUENT
+            crowded = inner.union(outer).where(is_crowded).agg(F.coalesce(F.sum("work"), F.lit(0)).alias("n")).first().n
+            # while pivots join or part the points the work gets clearly less; else these are leaves as they are
+            go_on = crowded > 0 and (crowded_before is None or crowded < 0.9 * crowded_before)
+            small = ~is_crowded if go_on else F.lit(True)
+            self.borders(zones.where("zone < 2").join(inner.where(small), "p", "left_semi"))
+            self.leaves(rest.join(outer.where(small), "h", "left_semi"))
+            if not go_on:
+                break
+            crowded_before = crowded
+            first, others = F.col("pivots")[0].alias("p"), F.array_distinct(F.slice("pivots", 2, PIVOTS)).alias("others")
+            again = rest.join(outer.where(is_crowded), "h").select("h", "x", first, others)
+            region = zones.where("zone < 2").join(inner.where(is_crowded), "p").select(F.xxhash64("p", F.col("pivots")[0]).alias("h"), "x", first, others)
+            open_cells = materialize(again.union(region), "open")
+            drop(zones, rest, inner, outer)
+        pairs = self.pairs[0]
+        for p in self.pairs[1:]:
+            pairs = pairs.union(p)
+        pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        a = self.in_regions(pairs).withColumnsRenamed({"region": "other", "x": "z", "y": "x"})
+        pairs = materialize(self.in_regions(a).where("region <> other").select("x", F.col("z").alias("y")), "pairs")
         if not pairs.limit(1).count():
-            break
-        more = measured(pairs)
-        regions = merged(regions, more.where(is_link()).select("x", "y"))
-        every = materialize(known.unionByName(more), "known")
-        drop(known, more)
-        known = every
-        left = opened(regions)
-
-    # the boundary: pairs from different regions that share enough cells, within the windows of a pivot both were held against
-    first = cells.select("h", "x", "y").join(known.select("x", "y", distance().alias("d")), ["x", "y"], "left").select("h", "x", F.when(F.col("x") == F.col("y"), 0.0).otherwise(F.col("d")).alias("d"))
-    a = left.join(first, ["h", "x"]).drop("size")
-    b = a.select("h", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("region").alias("other"), F.col("d").alias("e"))
-    outside = F.coalesce(F.abs(F.col("d") - F.col("e")) > (100 - PERCENT) / 100 + 1e-9, F.lit(False))
-    met = a.join(b, "h").where((F.col("region") != F.col("other")) & (F.col("x") < F.col("y")) & close_sizes("nx", "ny"))
-    pairs = met.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("c"), F.max(outside).alias("far")).where(enough("c") & ~F.col("far")).select("x", "y")
-    done = known.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    pairs = materialize(pairs.join(done, ["x", "y"], "left_anti"), "pairs")
+            return self.regions
+        return merged(self.regions, self.measured(pairs).where(is_link()).select("x", "y"))
+
+
+def links(docs: DataFrame, points: DataFrame) -> DataFrame:
+    """point, region for the points that link with others. docs: doc_id, t, text."""
+    found = cells(docs, points)
+    longs = [F.first(f"s{k}").alias(f"s{k}") for k in range(LONGS)]
+    names = points.where("n > 0").groupBy("point").agg(F.min("t").alias("t"), F.max("n").alias("n"), *longs)
+    names = materialize(names.join(found.select(F.col("x").alias("point")).distinct(), "point", "left_semi"), "names")
     release(docs)
-    if not pairs.limit(1).count():
-        return regions
-    return merged(regions, measured(pairs).where(is_link()).select("x", "y"))
+    return Join(docs, names).run(found)
 
 
 def release(df: DataFrame) -> None:
@@ -398,20 +532,42 @@ def release(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
-def group_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id of the group) for each row of docs."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "text")
+
+
+def grouped_points(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """points (doc_id, t, n, point ...) of the rows of docs, and point, key: a key for each group of sets."""
+    d = _keyed(docs)
     points = materialize(points_of(d), "points")
     with scratch(docs.sparkSession) as keep:
-        regions = keep(links(d, points))
+        regions = links(d, points)
+        own = points.where("n > 0").select("point").distinct()
+        keys = keep(materialize(own.join(regions, "point", "left").select("point", F.coalesce("region", "point").alias("key")), "keys"))
     release(docs)
-    named = points.select("doc_id", "n", "point").join(regions, "point", "left").select("doc_id", "n", F.coalesce("region", "point").alias("key"))
-    least = named.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
-    out = named.where("n > 0").join(least, "key").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
-    return out.unionByName(named.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return points, keys
+
+
+def group_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id of the group) for each row of docs."""
+    points, keys = grouped_points(docs)
+    ids = points.where("n > 0").groupBy("point").agg(F.min("doc_id").alias("doc_id")).join(keys, "point")
+    least = ids.groupBy("key").agg(F.min("doc_id").alias("component_id"))
+    # a table of its own, so that a set with very many copies can be split in the join
+    of = materialize(ids.join(least, "key").select("point", "component_id"), "components")
+    rows = points.select("doc_id", "n", F.when(F.col("n") > 0, F.col("point")).alias("point")).join(of, "point", "left")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs without those that are in the group of a row with a smaller id."""
-    away = group_documents(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__away")).distinct()
-    return docs.join(away, docs["doc_id"] == F.col("__away"), "left_anti")
+    """Of the rows of each group the first, by id (null last) and text; rows without a word all stay."""
+    points, keys = grouped_points(docs)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("t"))
+    first = points.where("n > 0").join(keys, "point").groupBy("key").agg(F.min(place).alias("f")).select("f.*", F.lit(True).alias("first"))
+    first = materialize(first, "first")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    own = F.col("doc_id").cast("long")
+    d = docs.select(row, own.isNull().alias("none"), F.coalesce(own, F.lit(0)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), F.coalesce(F.col("text").rlike(WORD), F.lit(False)).alias("worded"))
+    d = d.join(first, ["none", "id", "t"], "left").where("first or not worded")
+    again = W.partitionBy("none", "id", "t").orderBy(F.lit(0))
+    return d.withColumn("k", F.row_number().over(again)).where("k = 1 or not worded").select("row.*")
