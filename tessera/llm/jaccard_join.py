@@ -59,6 +59,8 @@ PIVOTS = 8
 ANCHORS, REACH = 12, 40
 #: The most anchors and shingles that are put last: 9 bytes each reach every executor.
 MOST_ANCHORS, MOST_LAST = 100_000, 1_000_000
+#: A block of so many shingles is counted at a time; one that it holds so often is handed on.
+BLOCK_SHINGLES, AGAIN = 4_000_000, 3
 #: Longs of a parity sketch.
 LONGS = 16
 #: Bits of the filter that says which sets are needed: 16 a set, but no more than these.
@@ -130,11 +132,21 @@ def shingles(texts: list[str | None]) -> Iterator[np.ndarray]:
         yield from _block(block)
 
 
-def point(hashes: np.ndarray) -> int:
-    """The name of a set: a hash of its sorted elements."""
+def distinct(h: np.ndarray) -> np.ndarray:
+    """The elements in order, each once (several times as fast as NumPy's unique)."""
+    s = np.sort(h)
+    return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
+
+
+def sets_of(texts: list[str | None]) -> list[np.ndarray]:
+    return [distinct(h) for h in shingles(texts)]
+
+
+def names_of(sets: list[np.ndarray]) -> np.ndarray:
+    """The name of each set, its point: a hash of its sorted elements."""
+    odd = np.arange(max(map(len, sets), default=0), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     with np.errstate(over="ignore"):
-        h = _mixed(np.uint64(len(hashes)) + (hashes * (np.arange(len(hashes), dtype=np.uint64) * np.uint64(2) + np.uint64(1))).sum(dtype=np.uint64, keepdims=True))
-    return int(h[0].astype(np.int64))
+        return _mixed(np.array([(u * odd[: len(u)]).sum(dtype=np.uint64) + np.uint64(len(u)) for u in sets], np.uint64)).view(np.int64)
 
 
 def least_shared(n: int) -> int:
@@ -147,19 +159,26 @@ def lead(n: int) -> int:
     return n - least_shared(n) + 1
 
 
-def sketch(u: np.ndarray) -> np.ndarray:
-    """For each bit the parity of the elements that fall on it; LONGS longs."""
-    odd = np.bincount((u >> np.uint64(20)) % np.uint64(64 * LONGS), minlength=64 * LONGS) & 1
+def sketch(u: np.ndarray, longs: int = LONGS) -> np.ndarray:
+    """For each bit the parity of the elements that fall on it. Half as many longs: the halves, exclusive or."""
+    odd = np.bincount((u >> np.uint64(20)) & np.uint64(64 * longs - 1), minlength=64 * longs) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide_sketch(u: np.ndarray) -> np.ndarray | None:
+    """Of a set with more elements than a sketch has bits: one of as many bits as elements at least."""
+    return sketch(u, 1 << (len(u) - 1).bit_length() >> 6) if len(u) > 64 * LONGS else None
+
+
 def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _lists(parts: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))
+def _lists(parts: list[np.ndarray | None]) -> pa.Array:
+    some = [p for p in parts if p is not None]
+    ends = np.cumsum([0, *(0 if p is None else len(p) for p in parts)]).astype(np.int32)
+    missing = pa.array([p is None for p in parts], pa.bool_())
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(some) if some else np.empty(0, np.int64)), mask=missing)
 
 
 def _texts(batch: pa.RecordBatch) -> list[str | None]:
@@ -167,17 +186,17 @@ def _texts(batch: pa.RecordBatch) -> list[str | None]:
 
 
 def points_of(docs: DataFrame) -> DataFrame:
-    """doc_id, t, n, point, anchors and the longs of the sketch, s0 and on. docs: doc_id, t, text."""
+    """doc_id, t, n, point, anchors, the longs of the sketch, s0 and on, and of large sets a wide one. docs: doc_id, t, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            us = [np.unique(h) for h in shingles(_texts(b))]
-            made = {"doc_id": b.column("doc_id"), "t": b.column("t"), "n": [len(u) for u in us], "point": [point(u) for u in us]}
+            us = sets_of(_texts(b))
+            made = {"doc_id": b.column("doc_id"), "t": b.column("t"), "n": [len(u) for u in us], "point": names_of(us), "wide": _lists([wide_sketch(u) for u in us])}
             longs = np.array([sketch(u) for u in us], np.int64).reshape(len(us), LONGS)
             yield made | {"anchors": _lists([_signed(u[u % np.uint64(ANCHORS) == 0]) for u in us])} | {f"s{k}": longs[:, k] for k in range(LONGS)}
 
     longs = ", ".join(f"s{k} long" for k in range(LONGS))
-    return map_batches(docs.select("doc_id", "t", "text"), f"doc_id long, t long, n long, point long, anchors array<long>, {longs}", run)
+    return map_batches(docs.select("doc_id", "t", "text"), f"doc_id long, t long, n long, point long, anchors array<long>, wide array<long>, {longs}", run)
 
 
 class Last:
@@ -209,28 +228,43 @@ def _collected(rows: DataFrame, count: str, most: int) -> tuple[np.ndarray, np.n
 
 
 def frequent(docs: DataFrame, points: DataFrame, most: int = FREQUENT) -> Last:
-    """The shingles of frequent passages: those near a frequent anchor that are frequent themselves."""
+    """The frequent shingles of frequent passages: those near a frequent anchor, and those that come up again
+    within a block of texts."""
     hot = points.select(F.explode("anchors").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > most)
     hot = materialize(hot, "anchors")
-    anchors = np.sort(_collected(hot, "n", MOST_ANCHORS)[0])
-    if not len(anchors):
-        return Last(anchors, anchors)
+    anchors = np.sort(_collected(hot, "n", MOST_ANCHORS)[0].view(np.uint64))
+
+    def block(sets: list[np.ndarray], near: list[np.ndarray]) -> dict:
+        s = np.sort(np.concatenate(sets))
+        at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        n = np.diff(np.append(at, len(s)))
+        u, often = s[at], n >= AGAIN
+        if near:
+            often |= np.isin(u, distinct(np.concatenate(near)), assume_unique=True)
+        return {"h": _signed(u[often]), "n": n[often]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        own = anchors.view(np.uint64)
+        sets: list[np.ndarray] = []
+        near: list[np.ndarray] = []
+        size = 0
         for b in batches:
-            near = []
             for h in shingles(_texts(b)):
+                if not len(h):
+                    continue
                 can = h[h % np.uint64(ANCHORS) == 0]
-                if len(can) and np.isin(can, own).any():
-                    at = np.flatnonzero(np.isin(h, own))
+                if len(can) and len(anchors) and np.isin(can, anchors).any():
+                    at = np.flatnonzero(np.isin(h, anchors))
                     mark = np.zeros(len(h) + 1, np.int64)
                     np.add.at(mark, np.maximum(at - REACH, 0), 1)
                     np.add.at(mark, np.minimum(at + REACH + 1, len(h)), -1)
-                    near.append(np.unique(h[np.cumsum(mark[:-1]) > 0]))
-            if near:
-                u, n = np.unique(np.concatenate(near), return_counts=True)
-                yield {"h": _signed(u), "n": n}
+                    near.append(h[np.cumsum(mark[:-1]) > 0])
+                sets.append(distinct(h))
+                size += len(sets[-1])
+                if size > BLOCK_SHINGLES:
+                    yield block(sets, near)
+                    sets, near, size = [], [], 0
+        if sets:
+            yield block(sets, near)
 
     counts = map_batches(docs.select("text"), "h long, n long", run).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > most)
     return Last(*_collected(materialize(counts, "frequent"), "n", MOST_LAST))
@@ -243,9 +277,8 @@ def postings(docs: DataFrame, last: Last) -> DataFrame:
         seen: set[int] = set()  # as many as the task has rows
         for b in batches:
             hs, xs = [], []
-            for h in shingles(_texts(b)):
-                u = np.unique(h)
-                x = point(u)
+            us = sets_of(_texts(b))
+            for u, x in zip(us, names_of(us).tolist()):
                 if len(u) and x not in seen:
                     seen.add(x)
                     k, level = lead(len(u)), last.levels(u)
@@ -339,8 +372,8 @@ def needed_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             t = b.column("t").to_numpy()
             at = [int(k) for k in np.flatnonzero(wanted.has(t)) if int(t[k]) not in seen and not seen.add(int(t[k]))]
             if at:
-                us = [np.unique(h) for h in shingles(b.column("text").take(pa.array(at)).to_pylist())]
-                yield {"t": t[at], "point": [point(u) for u in us], "hs": _lists([_signed(u) for u in us])}
+                us = sets_of(b.column("text").take(pa.array(at)).to_pylist())
+                yield {"t": t[at], "point": names_of(us), "hs": _lists([_signed(u) for u in us])}
 
     sets = map_batches(docs.select("t", "text"), "t long, point long, hs array<long>", run)
     return sets.join(ids, ["t", "point"], "left_semi").dropDuplicates(["point"]).select("point", "hs")
@@ -356,6 +389,14 @@ def apart() -> Column:
     return F.greatest(bits.cast("long"), F.abs(F.col("nx") - F.col("ny")))
 
 
+def wide_apart() -> Column:
+    """The same by the wide sketches wx and wy, of which one may have half as many longs; not for other sizes."""
+    halved = lambda w: F.zip_with(F.slice(w, F.lit(1), (F.size(w) / 2).cast("int")), F.slice(w, (F.size(w) / 2).cast("int") + 1, F.size(w)), lambda a, b: a.bitwiseXOR(b))
+    fit = lambda w, v: F.when(F.size(w) == 2 * F.size(v), halved(F.col(w))).otherwise(F.col(w))
+    bits = F.zip_with(fit("wx", "wy"), fit("wy", "wx"), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0)))
+
+
 def may_link(differ: Column) -> Column:
     return (100 + PERCENT) * differ <= (100 - PERCENT) * (F.col("nx") + F.col("ny"))
 
@@ -417,8 +458,17 @@ class Join:
         self.pairs: list[DataFrame] = []
         self.regions: DataFrame | None = None
 
+    def hopeful(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (x, y) without those of two large sets whose wide sketches are too far apart."""
+        wide = self.names.where("wide is not null").select("point", "n", "wide")
+        rows = pairs.join(wide.select(F.col("point").alias("y"), F.col("n").alias("ny"), F.col("wide").alias("wy")), "y", "left")
+        rows = rows.join(wide.select(F.col("point").alias("x"), F.col("n").alias("nx"), F.col("wide").alias("wx")), "x", "left")
+        far = F.when(F.col("wx").isNotNull() & F.col("wy").isNotNull(), ~may_link(wide_apart())).otherwise(F.lit(False))
+        return materialize(rows.where(~far).select("x", "y"), "hopeful")
+
     def measured(self, pairs: DataFrame) -> DataFrame:
-        """x, y, nx, ny, both for pairs (x, y), from the whole sets."""
+        """x, y, nx, ny, both for pairs (x, y), from the whole sets; pairs that can't link may be left out."""
+        pairs = self.hopeful(pairs)
         points = pairs.select(F.col("x").alias("point")).union(pairs.select("y")).distinct()
         needed = materialize(self.names.select("point", "t").join(points, "point", "left_semi"), "needed")
         sets = materialize(needed_sets(self.docs, needed), "sets")
@@ -493,7 +543,7 @@ class Join:
             is_crowded = F.col("work") > FREQUENT * FREQUENT
             crowded = inner.union(outer).where(is_crowded).agg(F.coalesce(F.sum("work"), F.lit(0)).alias("n")).first().n
             # while pivots join or part the points the work gets clearly less; else these are leaves as they are
-            go_on = crowded > 0 and (crowded_before is None or crowded < 0.9 * crowded_before)
+            go_on = crowded > 0 and (crowded_before is None or crowded < 0.5 * crowded_before)
             small = ~is_crowded if go_on else F.lit(True)
             self.borders(zones.where("zone < 2").join(inner.where(small), "p", "left_semi"))
             self.leaves(rest.join(outer.where(small), "h", "left_semi"))
@@ -520,7 +570,7 @@ def links(docs: DataFrame, points: DataFrame) -> DataFrame:
     """point, region for the points that link with others. docs: doc_id, t, text."""
     found = cells(docs, points)
     longs = [F.first(f"s{k}").alias(f"s{k}") for k in range(LONGS)]
-    names = points.where("n > 0").groupBy("point").agg(F.min("t").alias("t"), F.max("n").alias("n"), *longs)
+    names = points.where("n > 0").groupBy("point").agg(F.min("t").alias("t"), F.max("n").alias("n"), F.first("wide").alias("wide"), *longs)
     names = materialize(names.join(found.select(F.col("x").alias("point")).distinct(), "point", "left_semi"), "names")
     release(docs)
     return Join(docs, names).run(found)
