@@ -2,9 +2,10 @@
 
 The UNITS most frequent training words are units of their own; other words are units by
 their last SUFFIX characters (the SUFFIXES most frequent of these, else one common unit).
-Exchange clustering puts units into CLASSES classes: in each round every unit is moved to
-the class in which it adds most to the likelihood of the class bigrams, given where the
-others stand. A word's probability is P(class | class before), interpolated with
+Exchange clustering puts units into CLASSES classes: for every unit the exact change of the
+class bigrams' likelihood is worked out for a move to every other class, given where the
+others stand. In each round units that gain move together; if that lowers the likelihood,
+fewer of them move. Rounds end when they gain less than TOLERANCE of it (or after ROUNDS). A word's probability is P(class | class before), interpolated with
 P(class) as Witten and Bell do, times P(unit | class), times P(word | unit) with one
 added to each count and one place kept for unknown words. A text ends with the end token.
 
@@ -27,15 +28,18 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import most_frequent
+from tessera.llm.common import map_batches, most_frequent
 from tessera.session import materialize
 
-UNITS, SUFFIX, SUFFIXES, CLASSES, ROUNDS, HEAD = 4096, 2, 1024, 32, 4, 150_000
+UNITS, SUFFIX, SUFFIXES, CLASSES, HEAD = 4096, 2, 1024, 32, 150_000
+TOLERANCE, ROUNDS = 0.002, 30
+#: The neighbours' counts of a task are handed on in so many parts.
+PARTS = 16
 HELD_OUT, FOLDS = 2, 7
 #: Distinct words that a task holds before it hands their counts on.
 MOST_HELD = 400_000
@@ -46,108 +50,151 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def words_of(text: str | None) -> list[str]:
-    """Words between the six ASCII white-space characters, A-Z lower-cased."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").translate(_SPACES).split(" ")
+def tokens_of(text: str | None) -> list[bytes]:
+    """Words between the six ASCII white-space characters, A-Z lower-cased; of bytes, both are that."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-_SPACES = dict.fromkeys(range(9, 14), " ")
-
-
-def tokens_of(text: str | None) -> list[str]:
-    return [w for w in words_of(text) if w]
+def text_of(word: bytes) -> str:
+    return word.decode("utf-8", "surrogatepass")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """word, c over the training texts."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held: Counter = Counter()
         for b in batches:
-            for t in b.text:
+            for t in b.column("text").to_pylist():
                 held.update(tokens_of(t))
                 if len(held) > MOST_HELD:
-                    yield pd.DataFrame({"word": list(held.keys()), "c": list(held.values())})
+                    yield {"word": [*map(text_of, held)], "c": list(held.values())}
                     held.clear()
         if held:
-            yield pd.DataFrame({"word": list(held.keys()), "c": list(held.values())})
+            yield {"word": [*map(text_of, held)], "c": list(held.values())}
 
-    return docs.where(~held_out()).select("text").mapInPandas(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return map_batches(docs.where(~held_out()).select("text"), "word string, c long", run).groupBy("word").agg(F.sum("c").alias("c"))
 
 
 class Units:
     """Which unit a word is: own units from 1 on, then suffixes, last the common unit; 0 is the end."""
 
     def __init__(self, words: list[str], suffixes: list[str]):
-        self.own = {w: k + 1 for k, w in enumerate(words)}
-        self.suffix = {s: k + 1 + len(words) for k, s in enumerate(suffixes)}
+        self.own = {w.encode("utf-8", "surrogatepass"): k + 1 for k, w in enumerate(words)}
+        self.suffix = {s.encode("utf-8", "surrogatepass"): k + 1 + len(words) for k, s in enumerate(suffixes)}
         self.common = 1 + len(words) + len(suffixes)
         self.size = self.common + 1
         self.first_shared = 1 + len(words)
 
-    def ids(self, words: list[str]) -> np.ndarray:
-        own, suffix, common = self.own.get, self.suffix.get, self.common
-        return np.fromiter((own(w) or suffix(w[-SUFFIX:], common) for w in words), np.int32, len(words))
+    def shared(self, word: bytes) -> int:
+        end = word[-SUFFIX:]
+        return self.suffix.get(end if end.isascii() else text_of(word)[-SUFFIX:].encode("utf-8", "surrogatepass"), self.common)
+
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        own, shared = self.own.get, self.shared
+        return np.fromiter((own(w) or shared(w) for w in words), np.int32, len(words))
 
 
 def unit_bigrams(docs: DataFrame, units: Units) -> DataFrame:
     """ids: the units of the training texts, each text closed by the end; one row a batch."""
     send = docs.sparkSession.sparkContext.broadcast(units)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         u = send.value
         for b in batches:
-            parts = []
-            for t in b.text:
+            parts = [np.empty(0, np.int32)]
+            for t in b.column("text").to_pylist():
                 parts += [u.ids(tokens_of(t)), np.zeros(1, np.int32)]
-            yield pd.DataFrame({"ids": [zlib.compress(np.concatenate(parts).astype("<u2").tobytes(), 1)]})
+            yield {"ids": [zlib.compress(np.concatenate(parts).astype("<u2").tobytes(), 1)]}
+
+    return map_batches(docs.where(~held_out()).select("text"), "ids binary", run)
 
-    return docs.where(~held_out()).select("text").mapInPandas(run, "ids binary")
 
+def neighbour_counts(encoded: DataFrame, classes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """n[0, unit, class]: how often a unit is followed by a class; n[1, ...]: preceded; and how often by itself.
 
-def neighbour_counts(encoded: DataFrame, classes: np.ndarray, size: int) -> np.ndarray:
-    """n[0, unit, class]: how often a unit is followed by a class; n[1, ...]: preceded. A bounded table."""
+    A table of bounded size: each task adds up its own and hands it on in PARTS, which are added up by part.
+    """
     many = int(classes.max()) + 1
     send = encoded.sparkSession.sparkContext.broadcast(classes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         of = send.value
-        held = np.zeros(2 * size * many, np.int64)
+        held = np.zeros(2 * size * many + size, np.int64)
         for b in batches:
-            for raw in b.ids:
+            for raw in b.column("ids").to_pylist():
                 x = np.frombuffer(zlib.decompress(raw), "<u2").astype(np.int64)
                 if len(x):
                     x = np.concatenate([[0], x])  # a text begins after an end
-                    held += np.bincount(x[:-1] * many + of[x[1:]], minlength=2 * size * many)
-                    held += np.bincount(size * many + x[1:] * many + of[x[:-1]], minlength=2 * size * many)
-        at = np.flatnonzero(held)
-        yield pd.DataFrame({"at": at, "n": held[at]})
-
-    rows = encoded.mapInPandas(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(2 * size * many)
-    out[rows["at"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
-    return out.reshape(2, size, many)
-
-
-def exchange(n: np.ndarray, classes: np.ndarray, rng: np.random.Generator, share: float) -> np.ndarray:
-    """Moves units to the classes in which they add most; of each round a share moves, so that units
-    that attract each other do not swap places for ever. The end keeps its class, the first."""
-    many = n.shape[2]
-    pair = np.zeros((many, many))
-    np.add.at(pair, classes, n[0])  # class -> class
+                    u, v = x[:-1], x[1:]
+                    held += np.bincount(u * many + of[v], minlength=len(held))
+                    held += np.bincount(size * many + v * many + of[u], minlength=len(held))
+                    held += np.bincount(2 * size * many + u[u == v], minlength=len(held))
+        yield {"part": range(PARTS), "n": [zlib.compress(p.tobytes(), 1) for p in np.array_split(held, PARTS)]}
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        whole: dict[int, np.ndarray] = {}  # the parts of a task, PARTS at most
+        for b in batches:
+            for part, raw in zip(b.column("part").to_pylist(), b.column("n").to_pylist()):
+                n = np.frombuffer(zlib.decompress(raw), np.int64)
+                whole[part] = whole[part] + n if part in whole else n
+        if whole:
+            yield {"part": list(whole), "n": [zlib.compress(n.tobytes(), 1) for n in whole.values()]}
+
+    kind = "part int, n binary"
+    rows = map_batches(map_batches(encoded, kind, count).repartition("part"), kind, add).orderBy("part").collect()
+    got = np.concatenate([np.frombuffer(zlib.decompress(bytes(r.n)), np.int64) for r in rows]).astype(float) if rows else np.zeros(2 * size * many + size)
+    return got[: 2 * size * many].reshape(2, size, many), got[2 * size * many :]
+
+
+def _entropy(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def class_pairs(n: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    pair = np.zeros((n.shape[2],) * 2)
+    np.add.at(pair, classes, n[0])
+    return pair
+
+
+def likelihood(pair: np.ndarray) -> float:
+    """Of the class bigrams, but for what no clustering changes."""
+    return float(_entropy(pair).sum() - _entropy(pair.sum(1)).sum() - _entropy(pair.sum(0)).sum())
+
+
+def best_moves(n: np.ndarray, own: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each unit the class to which a move, of this unit alone, adds most to the likelihood; and how much.
+    The end keeps its class, the first, to itself."""
+    pair = class_pairs(n, classes)
     left, right = pair.sum(1), pair.sum(0)
-    total = max(pair.sum(), 1)
-    # log P(class | class) against chance: what a unit's neighbours say for a class
-    gain = np.log((pair + 0.1) * (total + 0.1 * many * many) / np.outer(left + 0.1 * many, right + 0.1 * many))
-    fit = n[0] @ gain.T + n[1] @ gain  # unit x class
-    best = fit[:, 1:].argmax(1) + 1
-    better = fit[np.arange(len(best)), best] > fit[np.arange(len(best)), classes] + 1e-9
-    move = better & (rng.random(len(best)) < share)
-    move[0] = False
-    return np.where(move, best, classes)
-
-
-def clusters(encoded: DataFrame, units: Units, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    best, gain = classes.copy(), np.zeros(len(classes))
+    for u in range(1, len(classes)):
+        a, s = classes[u], own[u]
+        r, l = n[0, u].copy(), n[1, u].copy()  # noqa: E741
+        if not r.any() and not l.any():
+            continue
+        r[a] -= s
+        l[a] -= s
+        # without the unit
+        q, lq, rq = pair.copy(), left.copy(), right.copy()
+        q[a] -= r
+        q[:, a] -= l
+        q[a, a] -= s
+        lq[a] -= r.sum() + s
+        rq[a] -= l.sum() + s
+        q = np.maximum(q, 0)
+        # with it in each class
+        base, d = _entropy(q), np.diag(q)
+        rows, columns = _entropy(q + r) - base, _entropy(q + l[:, None]) - base
+        add = rows.sum(1) - np.diag(rows) + columns.sum(0) - np.diag(columns) + _entropy(d + r + l + s) - _entropy(d)
+        add -= _entropy(lq + r.sum() + s) - _entropy(lq) + _entropy(rq + l.sum() + s) - _entropy(rq)
+        add[0] = -np.inf
+        best[u] = add.argmax()
+        gain[u] = add[best[u]] - add[a]
+    return best, gain
+
+
+def clusters(encoded: DataFrame, units: Units, counts: np.ndarray, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """The class of each unit and the counts of class bigrams."""
     many = min(CLASSES, max(units.size, 2))
     classes = np.ones(units.size, np.int64)
@@ -155,18 +202,33 @@ def clusters(encoded: DataFrame, units: Units, counts: np.ndarray, rounds: int =
     classes[order] = np.arange(len(order)) % (many - 1) + 1
     classes[0] = 0
     rng = np.random.default_rng(7)
-    for k in range(rounds):
-        classes = exchange(neighbour_counts(encoded, classes, units.size), classes, rng, 0.9 if k else 1.0)
-    n = neighbour_counts(encoded, classes, units.size)
-    pair = np.zeros((int(classes.max()) + 1,) * 2)
-    np.add.at(pair, classes, n[0])
-    return classes, pair
+    n, own = neighbour_counts(encoded, classes, units.size)
+    value, share = likelihood(class_pairs(n, classes)), 1.0
+    best, gain = best_moves(n, own, classes)
+    for _ in range(rounds):
+        move = (gain > 1e-9) & (best != classes) & (rng.random(len(best)) < share)
+        if not move.any():
+            break
+        trial = np.where(move, best, classes)
+        trial_n, trial_own = neighbour_counts(encoded, trial, units.size)
+        trial_value = likelihood(class_pairs(trial_n, trial))
+        if trial_value <= value:
+            share /= 2
+            if share < 1 / 16:
+                break
+            continue
+        small = trial_value - value < tolerance * abs(trial_value)
+        classes, n, own, value = trial, trial_n, trial_own, trial_value
+        if small:
+            break
+        best, gain = best_moves(n, own, classes)
+    return classes, class_pairs(n, classes)
 
 
 class Model:
     """Everything that scoring needs but the counts of rare words."""
 
-    def __init__(self, units: Units, classes: np.ndarray, pair: np.ndarray, unit_count: np.ndarray, shared: np.ndarray, head: dict[str, int], total: int, distinct: int, ends: int):
+    def __init__(self, units: Units, classes: np.ndarray, pair: np.ndarray, unit_count: np.ndarray, shared: np.ndarray, head: dict[bytes, int], total: int, distinct: int, ends: int):
         self.units, self.head, self.total, self.distinct, self.ends = units, head, total, distinct, ends
         of = pair.sum(1)
         kinds = (pair > 0).sum(1)
@@ -186,23 +248,23 @@ def score_words(docs: DataFrame, model: Model) -> DataFrame:
     """A row for each document, with the words whose counts are still to be added."""
     send = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         m = send.value
         head, own = m.head.get, m.units.own
         row = TaskContext.get().partitionId() << 33
         log_end = math.log10(m.ends + 1)
         for b in batches:
             out = []
-            for i, held, text in zip(b.doc_id.astype("Int64"), b.held, b.text):
+            for i, held, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "held", "text"))):
                 ws = tokens_of(text)
                 ids = np.append(m.units.ids(ws), 0)
                 cs = m.classes[ids]
                 score = float(m.step[np.concatenate([[0], cs[:-1]]), cs].sum() + m.emit[ids].sum())
-                base, known, tail = log_end, int(m.ends > 0), {}
+                base, known, tail = log_end, int(m.ends > 0), []
                 for w, k in Counter(ws).items():
                     c = head(w)
                     if c is None:
-                        tail[w] = k
+                        tail.append((text_of(w), k))
                     else:
                         lg = k * math.log10(c + 1)
                         base += lg
@@ -210,13 +272,12 @@ def score_words(docs: DataFrame, model: Model) -> DataFrame:
                         if w not in own:
                             score += lg
                 n = len(ws) + 1
-                out.append((row, i, bool(held), n, known, base - n * m.base_unit, score, tail))
+                out.append((row, i, held, n, known, base - n * m.base_unit, score, tail))
                 row += 1
-            d = pd.DataFrame(out, columns=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail"])
-            d["doc_id"] = d.doc_id.astype("Int64")
-            yield d
+            if out:
+                yield dict(zip(["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail"], zip(*out)))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held"), "text").mapInPandas(run, OUT)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held"), "text"), OUT, run)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -240,7 +301,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     unit_count = np.concatenate([[ends], [c for _, c in head[:UNITS]], shared[:, 0]])
     encoded = materialize(unit_bigrams(docs, units), "units")
     classes, pair = clusters(encoded, units, unit_count)
-    model = Model(units, classes, pair, unit_count, shared, dict(head), total, distinct, ends)
+    counted = {w.encode("utf-8", "surrogatepass"): c for w, c in head}
+    model = Model(units, classes, pair, unit_count, shared, counted, total, distinct, ends)
     scored = materialize(score_words(docs, model), "scores")
     tail = scored.select("row", F.explode("tail").alias("word", "k")).join(counts, "word")
     add = tail.groupBy("row").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("lg"))

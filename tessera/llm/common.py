@@ -53,6 +53,22 @@ def map_batches(df: DataFrame, schema: str | T.StructType, run: Callable[[Iterat
     return df.mapInArrow(go, struct)
 
 
+def running(xs: Column, zero: Column, step: Callable[[Column, Column], Column], block: int = 256) -> Column:
+    """The state before each element of xs: zero, step(zero, x0) and so on. An array that grows is
+    copied each time, so states are gathered in blocks and the time stays nearly linear."""
+    none = F.slice(F.array(zero), 1, 0)
+    gather = lambda a, x, to: F.struct(to(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+
+    def over(blocks: Column) -> Column:
+        whole = lambda at, b: F.aggregate(b, at, step)
+        starts = F.aggregate(blocks, F.struct(zero.alias("at"), none.alias("out")), lambda a, b: gather(a, b, whole), lambda a: a["out"])
+        inside = lambda b, s: F.aggregate(b, F.struct(s.alias("at"), none.alias("out")), lambda a, x: gather(a, x, step), lambda a: a["out"])
+        return F.flatten(F.zip_with(blocks, starts, inside))
+
+    last = F.greatest(F.lit(0), F.floor((F.size(xs) - 1) / block).cast("int"))
+    return let(F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(xs, k * block + 1, F.lit(block))), over)
+
+
 def total(array: Column) -> Column:
     return F.aggregate(array, F.lit(0).cast("long"), lambda a, x: a + x)
 

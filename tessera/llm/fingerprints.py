@@ -20,13 +20,16 @@ row the next document is itself. Rows without an id come last.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import map_batches
+
 LENGTH, WIDTH, RUN = 64, 7, 6
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", dtype=np.uint8)
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -189,11 +192,16 @@ def likeness(a: list[str], b: list[str]) -> np.ndarray:
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint, without moving texts."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b.doc_id, "fingerprint": fingerprints([t or "" for t in b.text])})
+            yield {"doc_id": b.column("doc_id"), "fingerprint": fingerprints([t or "" for t in b.column("text").to_pylist()])}
+
+    return map_batches(docs.select("doc_id", "text"), f"doc_id {dict(docs.dtypes)['doc_id']}, fingerprint string", run)
+
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fingerprint string")
+def _literal(values: list, kind: str) -> F.Column:
+    """An array as one literal, however long."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
 
 
 def with_next(docs: DataFrame, ranges: int) -> DataFrame:
@@ -202,18 +210,16 @@ def with_next(docs: DataFrame, ranges: int) -> DataFrame:
     quantiles = docs.where("doc_id is not null").select(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 10 * ranges).alias("q")).first().q or []
     bounds = sorted(set(quantiles))  # at most `ranges` numbers
     ids = F.col("doc_id")
-    array = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<bigint>")
+    array = _literal(bounds, "array<bigint>")
     part = F.when(ids.isNull(), F.lit(len(bounds) + 1)).otherwise(F.size(F.filter(array, lambda b: b >= ids)))
     heads = {r.part: r.id for r in docs.groupBy(part.alias("part")).agg(F.max("doc_id").alias("id")).collect()}  # a row a range
     order = sorted(heads)
-    sent = {}  # the head of a range -> the range before it
-    for k, p in enumerate(order):
-        sent[p] = order[k - 1]  # of the first: the last
-    to = F.create_map(*(F.lit(x) for kv in sent.items() for x in kv)) if sent else F.create_map().cast("map<int,int>")
-    head = F.create_map(*(F.lit(x) for p in order for x in (p, heads[p]))) if order else F.create_map().cast("map<int,bigint>")
+    sent = {p: order[k - 1] for k, p in enumerate(order)}  # the head of a range goes to the range before it, of the first to the last
+    of_part = lambda values, kind: F.get(_literal([values.get(p) for p in range(len(bounds) + 2)], kind), F.col("__own"))
+    to = of_part(sent, "array<int>")
     d = docs.withColumn("__own", part)
-    is_head = head[F.col("__own")].eqNullSafe(ids) if order else F.lit(False)
-    both = F.array(F.struct(F.col("__own").alias("p"), F.lit(False).alias("c")), F.struct(to[F.col("__own")].alias("p"), F.lit(True).alias("c")))
+    is_head = of_part(heads, "array<bigint>").eqNullSafe(ids)
+    both = F.array(F.struct(F.col("__own").alias("p"), F.lit(False).alias("c")), F.struct(to.alias("p"), F.lit(True).alias("c")))
     d = d.withColumn("__to", F.explode(F.when(is_head, both).otherwise(F.slice(both, 1, 1))))
     return d.select(F.col("__to.p").alias("__part"), F.col("__to.c").alias("__copy"), "doc_id", "text")
 
@@ -221,12 +227,12 @@ def with_next(docs: DataFrame, ranges: int) -> DataFrame:
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _edited(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """Rows come by __part, copies last, ids descending, then by text."""
     held: list[tuple] = []
     chars = 0
 
-    def out(rows: list[tuple]) -> pd.DataFrame:
+    def out(rows: list[tuple]) -> dict:
         """Of all rows but the last and the copies, each against the row after it."""
         own, made = [], []
         for (p, c, i, t), (q, d, _, u) in zip(rows, rows[1:]):
@@ -238,14 +244,13 @@ def _edited(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         prints = dict(zip(texts, fingerprints(texts)))
         for i, n, e, t, u in own:
             made.append((i, n, hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), prints[t], prints[e], prints[u]))
-        d = pd.DataFrame(made, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "next"])
-        d["near_edited"], d["near_next"] = (likeness(d.fingerprint.tolist(), d[k].tolist()) for k in ("edited_fingerprint", "next"))
-        d["doc_id"] = d.doc_id.astype("Int64")
-        return d.drop(columns="next")
+        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "next"]
+        d = dict(zip(names, map(list, zip(*made)))) if made else {c: [] for c in names}
+        return d | {"near_edited": likeness(d["fingerprint"], d["edited_fingerprint"]), "near_next": likeness(d["fingerprint"], d["next"])}
 
     last_part = None
     for b in batches:
-        for row in zip(b["__part"], b["__copy"], b.doc_id.astype("Int64"), b.text.fillna("")):
+        for row in zip(*(b.column(c).to_pylist() for c in ("__part", "__copy", "doc_id")), (t or "" for t in b.column("text").to_pylist())):
             if row[1] and last_part == (row[0], "done"):
                 continue  # equal heads: the first copy is the one that follows
             held.append(row)
@@ -265,4 +270,4 @@ def edit_digest(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dealt = with_next(d, ranges).repartitionByRange(ranges, "__part")
     ordered = dealt.sortWithinPartitions("__part", "__copy", F.desc_nulls_last("doc_id"), F.asc_nulls_first("text"))
-    return ordered.mapInPandas(_edited, OUT)
+    return map_batches(ordered, OUT, _edited)

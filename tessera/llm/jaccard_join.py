@@ -251,9 +251,10 @@ def frequent(docs: DataFrame, points: DataFrame, most: int = FREQUENT) -> Last:
             for h in shingles(_texts(b)):
                 if not len(h):
                     continue
-                can = h[h % np.uint64(ANCHORS) == 0]
-                if len(can) and len(anchors) and np.isin(can, anchors).any():
-                    at = np.flatnonzero(np.isin(h, anchors))
+                at = np.flatnonzero(h % np.uint64(ANCHORS) == 0)
+                if len(at) and len(anchors):
+                    at = at[anchors[np.minimum(np.searchsorted(anchors, h[at]), len(anchors) - 1)] == h[at]]
+                if len(at) and len(anchors):
                     mark = np.zeros(len(h) + 1, np.int64)
                     np.add.at(mark, np.maximum(at - REACH, 0), 1)
                     np.add.at(mark, np.minimum(at + REACH + 1, len(h)), -1)

@@ -9,12 +9,17 @@ else opens a group as its seed. A group is a template. One in at least DOCUMENTS
 that are no copies of each other is recurring, and its lines are dropped from every
 document; so leaves with fewer forms of documents are not searched.
 
-Copies do not make their lines recurring: of the texts that hold a template found in
-DOCUMENTS texts, those that the near-duplicate join groups count as one document.
+Copies do not make their lines recurring. A template in DOCUMENTS texts is frequent. A text
+that holds at least half of its words in lines that are not frequent stands for itself. Of
+other texts, near copies among them, those that hold a template count once for each of its
+neighbours: the least other frequent template (by hash) that the text holds, or none. Near
+copies share nearly all of their templates, as small edits leave a line in its group, so a
+cluster of any size counts as very few.
 
 Lines end at line feeds. Lines without a token are kept. Null and empty texts stay as they
 are. Rows with equal ids and equal texts count as one document. Forms are told apart by
-64-bit hashes; within a leaf their tokens are compared, whatever their length.
+64-bit hashes; within a leaf their tokens are compared, whatever their length. Other
+columns, whatever their names and types, pass through.
 """
 
 from __future__ import annotations
@@ -24,18 +29,18 @@ import operator
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm import jaccard_join
+from tessera.llm.common import map_batches
 from tessera.session import materialize, scratch
 
 DEPTH, SIMILAR, MASKED, DOCUMENTS = 3, 0.7, 0.5, 10
 _DIGIT = re.compile(r"[0-9]")
-KEY = ["__id", "__text_hash"]
+KEY = ["id", "t"]
 
 
 def _hash(text: str) -> int:
@@ -55,29 +60,33 @@ def leaf_of(form: list[str]) -> int:
     return _hash(f"{len(form)} {' '.join(form[:DEPTH])}")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "__text_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
+def _key() -> tuple[Column, Column]:
+    """Names a document by its id and text; the rows without an id share one."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")
 
 
 def line_forms(docs: DataFrame) -> DataFrame:
-    """A row for each form in a document: __id, __text_hash, leaf, form, masked, lines."""
+    """A row for each form in a document: id, t, leaf, form, masked, lines, words."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        names = ["id", "t", "leaf", "form", "masked", "lines", "words"]
         for b in batches:
             rows = []
-            for i, t, text in zip(b["__id"], b["__text_hash"], b.text):
+            for i, t, text in zip(*(b.column(c).to_pylist() for c in ("id", "t", "text"))):
                 own: dict[int, list] = {}
                 for k, line in enumerate((text or "").split("\n")):
                     form = form_of(line)
                     if form:
                         masked = " ".join(form)
-                        at = own.setdefault(_hash(masked), [leaf_of(form), masked, []])
+                        at = own.setdefault(_hash(masked), [leaf_of(form), masked, [], 0])
                         at[2].append(k)
-                rows += [(i, t, leaf, h, masked, lines) for h, (leaf, masked, lines) in own.items()]
-            yield pd.DataFrame(rows, columns=[*KEY, "leaf", "form", "masked", "lines"])
+                        at[3] += len(form)
+                rows += [(i, t, leaf, h, masked, lines, words) for h, (leaf, masked, lines, words) in own.items()]
+            if rows:
+                yield dict(zip(names, zip(*rows)))
 
-    d = _keyed(docs.select("doc_id", "text")).select(*KEY, "text")
-    return d.mapInPandas(run, "__id long, __text_hash long, leaf long, form long, masked string, lines array<int>")
+    d = docs.select(*_key(), "text")
+    return map_batches(d, "id long, t long, leaf long, form long, masked string, lines array<int>, words long", run)
 
 
 @functools.cache
@@ -118,58 +127,76 @@ def templates(forms: DataFrame, similar: float = SIMILAR, documents: int = DOCUM
     busy = materialize(forms.groupBy("leaf").count().where(F.col("count") >= documents).select("leaf"), "leaves")
     count = forms.join(busy, "leaf", "left_semi").groupBy("leaf", "form", "masked").agg(F.count("*").alias("docs"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         at, leaf = None, None
         for b in batches:
             found = []
-            for name, form, masked in zip(b.leaf, b.form, b.masked):
+            for name, form, masked in zip(*(b.column(c).to_pylist() for c in ("leaf", "form", "masked"))):
                 if name != at:
                     at, leaf = name, Leaf(similar)
                 found.append(leaf.template(form, masked.split(" ")))
-            yield pd.DataFrame({"form": b.form, "template": found})
+            yield {"form": b.column("form"), "template": found}
 
     order = count.repartition("leaf").sortWithinPartitions("leaf", F.desc("docs"), "form")
-    return order.select("leaf", "form", "masked").mapInPandas(run, "form long, template long")
+    return map_batches(order.select("leaf", "form", "masked"), "form long, template long", run)
+
+
+def recurring_templates(own: DataFrame, totals: DataFrame, documents: int) -> DataFrame:
+    """template: those in enough documents apart. own: t, template, words; totals: t, words of a text."""
+    texts = materialize(own.groupBy("t", "template").agg(F.max("words").alias("words")), "texts")
+    often = texts.groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= documents).select("template")
+    held = materialize(texts.join(materialize(often, "often"), "template"), "held")
+    # of each text the two least frequent templates by hash; as many as the text has lines at most
+    least = held.groupBy("t").agg(F.sum("words").alias("frequent"), F.slice(F.sort_array(F.collect_set("template")), 1, 2).alias("least"))
+    least = materialize(least.join(totals, "t").select("t", "least", (2 * (F.col("words") - F.col("frequent")) >= F.col("words")).alias("apart")), "least")
+    beside = F.when(F.col("least")[0] == F.col("template"), F.get("least", F.lit(1))).otherwise(F.col("least")[0])
+    counted = F.when(F.col("apart"), F.col("t")).otherwise(F.coalesce(beside, F.lit(0)))
+    apart = materialize(held.select("t", "template").join(least, "t").select("template", "apart", counted.alias("counted")).distinct(), "apart")
+    return apart.groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= documents).select("template")
 
 
 def recurring(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
-    """__id, __text_hash, gone: the numbers of the lines to drop from a document."""
+    """id, t, gone: the numbers of the lines to drop from a document."""
     forms = materialize(line_forms(docs), "lines")
-    own = materialize(forms.select(*KEY, "form", "lines").join(templates(forms, documents=documents), "form").drop("form"), "templates")
-    texts = own.select("__text_hash", "template").distinct()
-    often = texts.groupBy("template").count().where(F.col("count") >= documents).select("template")
-    texts = materialize(texts.join(often, "template"), "texts")
-    held = materialize(texts.select("__text_hash").distinct(), "held")
-    held = materialize(_keyed(docs.select("doc_id", "text")).join(held, "__text_hash").dropDuplicates(["__text_hash"]).select(F.col("__text_hash").alias("doc_id"), "text"), "held")
-    classes = jaccard_join.group_documents(held).select(F.col("doc_id").alias("__text_hash"), "component_id")
-    apart = texts.join(classes, "__text_hash").select("template", "component_id").distinct()
-    often = apart.groupBy("template").count().where(F.col("count") >= documents).select("template")
+    of = materialize(templates(forms, documents=documents), "templates")
+    own = materialize(forms.select(*KEY, "form", "lines", "words").join(of, "form").drop("form"), "own")
+    totals = forms.groupBy("id", "t").agg(F.sum("words").alias("words")).groupBy("t").agg(F.max("words").alias("words"))
+    often = materialize(recurring_templates(own, totals, documents), "recurring")
     return own.join(often, "template").groupBy(*KEY).agg(F.flatten(F.collect_set("lines")).alias("gone"))
 
 
-def drop_lines(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
-    """docs with recurring lines dropped from text, and __lines and __dropped: the numbers of lines."""
-    names = docs.columns
+def _dropped(docs: DataFrame, documents: int) -> DataFrame:
+    """rest (the columns but text), text, n_lines, n_dropped."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             kept, every, dropped = [], [], []
-            for text, gone in zip(b.text, b["__gone"]):
+            for text, gone in zip(b.column("text").to_pylist(), b.column("gone").to_pylist()):
                 lines = text.split("\n") if text else []
-                away = set(gone) if gone is not None else ()
+                away = set(gone or ())
                 kept.append("\n".join(x for k, x in enumerate(lines) if k not in away) if away else text)
                 every.append(len(lines))
                 dropped.append(len(away))
-            yield b[names].assign(text=kept, __lines=every, __dropped=dropped)
+            yield {"rest": b.column("rest"), "text": kept, "n_lines": every, "n_dropped": dropped}
 
-    out = T.StructType([*docs.schema.fields, T.StructField("__lines", T.LongType()), T.StructField("__dropped", T.LongType())])
     with scratch(docs.sparkSession) as keep:
         gone = keep(materialize(recurring(docs, documents), "gone"))
-    joined = _keyed(docs).join(gone.withColumnRenamed("gone", "__gone"), KEY, "left").drop(*KEY)
-    return joined.mapInPandas(run, out)
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("rest")
+    joined = docs.select(rest, "text", *_key()).join(gone, KEY, "left").select("rest", "text", "gone")
+    kind = joined.schema["rest"].dataType
+    out = T.StructType([T.StructField("rest", kind), T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    return map_batches(joined, out, run)
+
+
+def drop_lines(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
+    """docs with recurring lines dropped from text, and __lines and __dropped: the numbers of lines
+    (not where docs has a column of that name)."""
+    own = ["text" if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns]
+    counts = {"__lines": "n_lines", "__dropped": "n_dropped"}
+    return _dropped(docs, documents).select(*own, *(F.col(c).alias(k) for k, c in counts.items() if k not in docs.columns))
 
 
-def line_digest(docs: DataFrame) -> DataFrame:
+def line_digest(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     """doc_id, n_lines, n_dropped and the text that is left."""
-    d = drop_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return d.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), "text")
+    d = _dropped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), documents)
+    return d.select("rest.doc_id", "n_lines", "n_dropped", "text")

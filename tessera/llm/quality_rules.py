@@ -15,7 +15,8 @@ len(STRATA) + 1 rows and is the only thing that is broadcast.
 
 Null or empty texts have no words, so base_failed holds for them. Null languages and
 those not in STRATA form the stratum "other". Null or missing labels are not used.
-Repeated rows are judged one by one. Other columns pass through filter_documents.
+Repeated rows are judged one by one. Other columns, whatever their names, pass through
+filter_documents.
 """
 
 from __future__ import annotations
@@ -190,6 +191,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, de
 def filter_documents(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The rows of docs that the rules keep, with the columns of docs."""
     lang = ["lang"] if "lang" in docs.columns else []
-    features = with_features(docs.select("doc_id", "text", *lang)).select("doc_id", "__q")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    # texts are written once with their counts, which take far longer than that
+    features = materialize(with_features(docs.select(row, "doc_id", "text", *lang)).select("row", "doc_id", "__q"), "quality")
     cuts = materialize(calibrate(features, labels, alpha, delta), "cutoffs")
-    return judge(with_features(docs), cuts).where("__kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return judge(features, cuts).where("__kept").select(*(F.col(f"row.`{c}`") for c in docs.columns))
