@@ -99,7 +99,7 @@ def bm25_topk(spark, sf_dir):
 
 # -- dense vectors and fusion
 
-_KNN = """vq AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id < 40),
+_KNN = """vq AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0),
 vs AS (SELECT query_id, vec_id AS chunk_id, round(list_sum(list_transform(range(1, 65), lambda i: CAST(e[i] AS DOUBLE) * CAST(embedding[i] AS DOUBLE))), 6) AS score FROM embeddings, vq),
 de AS (SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank, chunk_id, score FROM vs) WHERE rank <= 50)"""
 
@@ -109,8 +109,8 @@ def vectors(spark, sf_dir):
 
 
 def probes(spark, sf_dir):
-    """Forty stored vectors as queries: the feature is nearest neighbours of a stated set."""
-    return vectors(spark, sf_dir).where("chunk_id < 40").withColumnRenamed("chunk_id", "query_id")
+    """Every vector whose id is divisible by 50 as a query against all vectors."""
+    return vectors(spark, sf_dir).where("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
 
 
 @query(f"WITH {_KNN} SELECT query_id, rank, chunk_id, score FROM de WHERE rank <= 10")
@@ -134,9 +134,12 @@ fr AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id OR
 _FUSED = "SELECT query_id, rank, chunk_id, dense_rank, dense_score, sparse_rank, sparse_score, rrf_score FROM fr"
 
 
-def _ranked(spark, sf_dir):
-    near = dense.knn(vectors(spark, sf_dir), probes(spark, sf_dir), 50)
-    return near, bm25.search(bm25.build(corpus(spark, sf_dir)), questions(spark, sf_dir), 50)
+def _near(spark, sf_dir):
+    return dense.knn(vectors(spark, sf_dir), probes(spark, sf_dir), 50)
+
+
+def _lexical(spark, sf_dir):
+    return bm25.search(bm25.build(corpus(spark, sf_dir)), questions(spark, sf_dir), 50)
 
 
 _HYBRID = f"WITH {_BM25}, {_KNN}, {_rrf_sql('de', 'sp')}"
@@ -144,17 +147,17 @@ _HYBRID = f"WITH {_BM25}, {_KNN}, {_rrf_sql('de', 'sp')}"
 
 @query(f"{_HYBRID} {_FUSED}")
 def rrf_hybrid(spark, sf_dir):
-    return fusion.fuse_mode("hybrid", *_ranked(spark, sf_dir))
+    return fusion.fuse_mode("hybrid", _near(spark, sf_dir), _lexical(spark, sf_dir))
 
 
 @query(f"WITH {_BM25}, {_KNN}, ee AS (SELECT * FROM sp WHERE false), {_rrf_sql('de', 'ee')} {_FUSED}")
 def rrf_dense_only(spark, sf_dir):
-    return fusion.fuse_mode("dense", *_ranked(spark, sf_dir))
+    return fusion.fuse_mode("dense", _near(spark, sf_dir), None)
 
 
 @query(f"WITH {_BM25}, {_KNN}, ee AS (SELECT * FROM de WHERE false), {_rrf_sql('ee', 'sp')} {_FUSED}")
 def rrf_sparse_only(spark, sf_dir):
-    return fusion.fuse_mode("sparse", *_ranked(spark, sf_dir))
+    return fusion.fuse_mode("sparse", None, _lexical(spark, sf_dir))
 
 
 # -- query analysis and ranking
@@ -215,7 +218,7 @@ def diversity_topk(spark, sf_dir):
 s AS (SELECT query_id, round(CASE WHEN dense_rank IS NOT NULL AND sparse_rank IS NOT NULL THEN 0.45::DOUBLE ELSE 0 END + CASE WHEN boost > 0 THEN least(0.4::DOUBLE, boost / 7.5) ELSE 0 END + CASE WHEN dense_score >= 0.35 THEN 0.15::DOUBLE ELSE 0 END, 3) AS reliability_score FROM b)
 SELECT query_id, reliability_score, CASE WHEN reliability_score >= 0.65 THEN 'high' WHEN reliability_score >= 0.35 THEN 'medium' ELSE 'low' END AS reliability FROM s""")
 def reliability_label(spark, sf_dir):
-    top = fusion.fuse(*_ranked(spark, sf_dir)).withColumn("boost", (F.col("chunk_id") % 5).cast("double")).withColumnRenamed("rank", "final_rank")
+    top = fusion.fuse(_near(spark, sf_dir), _lexical(spark, sf_dir)).withColumn("boost", (F.col("chunk_id") % 5).cast("double")).withColumnRenamed("rank", "final_rank")
     return ranking.reliability(top).select("query_id", "reliability_score", "reliability")
 
 

@@ -53,7 +53,10 @@ def tokenize(text: Column) -> Column:
         snake = F.when(F.contains(t, F.lit("_")), F.filter(F.split(low, "_"), lambda p: p != "")).otherwise(F.array().cast("array<string>"))
         camel = F.split(t, CAMEL)
         clean = F.filter(F.transform(camel, lambda p: F.lower(F.trim(p, F.lit("_")))), lambda p: (p != "") & (p != low))
-        return F.concat(F.array(low), snake, F.when(F.size(camel) > 1, clean).otherwise(F.array().cast("array<string>")))
+        every = F.concat(F.array(low), snake, F.when(F.size(camel) > 1, clean).otherwise(F.array().cast("array<string>")))
+        # without an underscore, and without a capital after the first letter, there are no parts
+        rest = F.substr(t, F.lit(2))
+        return F.when(F.contains(t, F.lit("_")) | (F.lower(rest) != rest), every).otherwise(F.array(low))
 
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
     return F.flatten(F.transform(found, parts))

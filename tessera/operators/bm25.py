@@ -47,12 +47,14 @@ def term_table(postings: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def build(chunks: DataFrame, text: str = "text", key: str = "chunk_id") -> Index:
-    """An index of chunks; the tokens are made once and written."""
+    """An index of chunks, which have distinct keys; the tokens are made once, lengths are summed from the postings."""
     tokens = chunks.select(F.col(key).alias("chunk_id"), tokenize(F.col(text)).alias("tokens"))
-    docs = tokens.select("chunk_id", F.size("tokens").alias("dl"))
     tf = tokens.select("chunk_id", F.explode("tokens").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
     postings = materialize(tf, "postings")
-    return Index(postings, docs, term_table(postings, docs))
+    lengths = postings.groupBy("chunk_id").agg(F.sum("tf").cast("int").alias("dl"))
+    docs = chunks.select(F.col(key).alias("chunk_id")).join(lengths, "chunk_id", "left").select("chunk_id", F.coalesce("dl", F.lit(0)).alias("dl"))
+    docs = materialize(docs, "lengths")
+    return Index(postings, docs, materialize(term_table(postings, docs), "terms"))
 
 
 def search(index: Index, queries: DataFrame, k: int = 50, places: int = 6) -> DataFrame:
@@ -62,8 +64,10 @@ def search(index: Index, queries: DataFrame, k: int = 50, places: int = 6) -> Da
     ties go by chunk_id, so reruns agree.
     """
     wanted = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    # written, so that its size is known: a small one is broadcast and the postings do not move
+    wanted = materialize(wanted.join(index.terms.select("term", "idf"), "term"), "wanted")
     mean = F.broadcast(index.docs.agg(F.avg("dl").alias("avgdl")))
-    hits = index.postings.join(wanted, "term").join(index.terms.select("term", "idf"), "term").join(index.docs, "chunk_id").join(mean, F.lit(True))
+    hits = index.postings.join(wanted, "term").join(index.docs, "chunk_id").join(mean, F.lit(True))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part.cast("decimal(28,12)")).cast("double"), places).alias("score")).where("score > 0")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")

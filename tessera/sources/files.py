@@ -19,7 +19,7 @@ IGNORED = (
     ".git", ".svn", ".hg", "__pycache__", ".pytest_cache", ".ruff_cache", ".mypy_cache", "node_modules", "dist", "build", ".venv", "venv",
     "env", ".tox", ".eggs", "*.egg-info", "*.pyc", "*.pyo", "*.pyd", "*.so", "*.dylib", "*.dll", "*.a", "*.lib", "*.o", "*.obj",
     "*.lock", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", ".DS_Store", "Thumbs.db", "*.min.js", "*.min.css", "*.map",
-    "oss_evaluation", ".code_intel_index", "cloned_repos", ".env*", "*.pem", "*.key", "*.pkcs12", "*.pfx", "id_rsa*", "id_ed25519*",
+    ".tessera", ".env*", "*.pem", "*.key", "*.pkcs12", "*.pfx", "id_rsa*", "id_ed25519*",
     "*credential*", "*secret*", ".aws*", ".ssh*", "vendor", "third_party", "deps", "redis-stable*", "*.tar.gz",
 )
 

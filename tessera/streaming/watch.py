@@ -18,7 +18,7 @@ from tessera.operators.access import SEARCHES, WINDOW_SECONDS
 QUIET_MS = 500
 
 
-def relevant(events: DataFrame, index_folder: str = ".code_intel_index") -> DataFrame:
+def relevant(events: DataFrame, index_folder: str = ".tessera") -> DataFrame:
     """File events that matter: no folders, nothing hidden or in the index folder, a known extension unless deleted."""
     parts = F.split("path", "/")
     hidden = F.exists(parts, lambda p: F.startswith(p, F.lit(".")) | (p == index_folder))

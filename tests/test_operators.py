@@ -207,3 +207,42 @@ def test_knn_native_refuses_what_it_would_cut(spark, monkeypatch):
     assert dense.knn_native(v, q.where("query_id < 3"), 2).count() == 6
     with pytest.raises(ValueError):
         dense.knn_native(v, q, 2)
+
+
+@pytest.mark.parametrize(
+    "language, line, name, kind",
+    [
+        ("typescript", "export   default\tclass  Foo {", "Foo", "class"), ("typescript", "const add = async (a, b) => {", "add", "function"), ("javascript", "export async function* walk() {", "walk", "function"),
+        ("go", "func  (c *Cart)  Add(x int) {", "Add", "method"), ("go", "type\tCart  struct {", "Cart", "struct"), ("rust", "pub(crate)  async fn go() {", "go", "function"), ("rust", "impl<T>  Show for Cart<T> {", "Cart", "class"),
+        ("java", "public static final   class Foo {", "Foo", "class"), ("java", "public List<String> names(int k) {", "names", "method"), ("csharp", "internal sealed  record Foo(int X);", "Foo", "class"),
+        ("kotlin", "enum  class Color {", "Color", "enum"), ("kotlin", "override suspend fun run() {", "run", "function"), ("c", "static int  add(int a, int b)", "add", "function"), ("cpp", "enum class  Color {", "Color", "enum"),
+        ("sql", "create  or replace\ttable  if not exists a.b (", "a.b", "struct"), ("swift", "public  final class Foo {", "Foo", "class"), ("ruby", "def self.ok?", "ok?", "function"), ("php", "abstract  class Foo", "Foo", "class"), ("scala", "case  class Foo(x: Int)", "Foo", "class"),
+    ],
+)
+def test_declarations(language, line, name, kind):
+    found = chunking.structure_symbols("f", language, line + "\n\n")
+    assert [(x[2], x[3]) for x in found] == [(name, kind)]
+
+
+def test_declarations_leave_statements_alone():
+    for language, line in (("c", "return add(a, b)"), ("java", "return new Foo(a) {"), ("go", "function x"), ("typescript", "classify(x)"), ("c", "else if (x)")):
+        assert chunking.structure_symbols("f", language, line + "\n\n") == []
+
+
+def test_missing_model_is_a_typed_error(spark):
+    def make():
+        raise OSError("no such model")
+
+    with pytest.raises(dense.ModelUnavailable, match="no such model"):
+        dense.encode(spark.createDataFrame([("a", "x")], "chunk_id string, text string"), make)
+
+
+def test_benchmark_report(spark, tmp_path):
+    from tessera.plans import benchmark
+
+    tree = benchmark.source_tree(spark, 2000).toPandas()
+    assert tree.total_lines.sum() >= 2000 and tree.file_path.is_unique and set(tree.language) == {"python", "typescript", "go", "markdown"}
+    report = benchmark.run(spark, str(tmp_path / "index"), lines=800, count=2)
+    assert report["quality"]["queries"] == 2 and report["quality"]["mrr"] > 0 and set(report["latency"]) == {"analysis_ms", "dense_ms", "sparse_ms", "refinement_ms", "total_ms"}
+    benchmark.write_report(spark, report, str(tmp_path / "report"))
+    assert "lines_per_second" in spark.read.json(str(tmp_path / "report")).columns
