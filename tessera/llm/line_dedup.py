@@ -182,7 +182,8 @@ def _dropped(docs: DataFrame, documents: int) -> DataFrame:
     with scratch(docs.sparkSession) as keep:
         gone = keep(materialize(recurring(docs, documents), "gone"))
     rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("rest")
-    joined = docs.select(rest, "text", *_key()).join(gone, KEY, "left").select("rest", "text", "gone")
+    # gone grows with the corpus, so it is never broadcast: the join is the same at every size
+    joined = docs.select(rest, "text", *_key()).join(gone.hint("merge"), KEY, "left").select("rest", "text", "gone")
     kind = joined.schema["rest"].dataType
     out = T.StructType([T.StructField("rest", kind), T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     return map_batches(joined, out, run)
