@@ -396,3 +396,255 @@ def test_pipeline_stages(spark, tmp_path):
         assert d.columns == "doc_id text lang source n_chars".split(), name
     out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert 200 not in set(out.doc_id) and len({100, 101, 102, 103, 104} & set(out.doc_id)) <= 1
+
+
+# -- every operator: exact ids next to nulls, clashing names, ties, long texts
+
+BIG = (1 << 53) + 1
+EDGE = [(BIG, "alpha beta gamma delta epsilon zeta eta theta iota kappa. " * 3, "en", "a", 0), (None, None, None, None, None), (BIG + 2, "", "en", None, 0), (None, "alpha beta gamma delta epsilon zeta eta theta iota kappa. " * 3, "en", "a", 0)]
+#: Names that the operators use themselves.
+CLASHES = "row rest id t gone point key n rank target source_size size __id __source __size __q __w __c __s __cut __gone __lines __dropped __sentences __removed first worded k".split()
+
+
+def clashing(spark, rows):
+    d = docs_of(spark, rows)
+    return d.select(*d.columns, *(F.lit(j).alias(c) for j, c in enumerate(CLASHES)))
+
+
+def ids_of(df):
+    return sorted((r.doc_id is None, r.doc_id or 0) for r in df.collect())
+
+
+def test_ids_stay_exact_next_to_nulls(spark):
+    d, want = docs_of(spark, EDGE), sorted((r[0] is None, r[0] or 0) for r in EDGE)
+    for digest in (jaccard_join.group_documents, line_dedup.line_digest, substring_dedup.dedup_digest, class_lm.score_documents, fingerprints.edit_digest, pii.span_digest):
+        assert ids_of(digest(d)) == want, digest.__name__
+    assert set(ids_of(packing.pack_documents(d))) == set(want)
+
+
+def test_rows_without_an_id_take_part_in_links(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text, "en", "a", 0), (None, text + " x", "en", "a", 0), (7, text + " y", "en", "a", 0), (None, "other words stand in this one here", "en", "a", 0)]
+    got = [(r.doc_id, r.component_id) for r in jaccard_join.group_documents(docs_of(spark, rows)).collect()]
+    assert sorted(got, key=repr) == sorted([(None, 7), (None, 7), (7, 7), (None, None)], key=repr)
+    left = jaccard_join.one_of_each(docs_of(spark, rows)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in left) == [(False, 7), (True, 0)]
+
+
+def test_one_of_each_keeps_one_row(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "en", "a", 0)] * 3 + [(2, text, "en", "a", 0), (5, "quite another text with words of its own", "en", "a", 0), (1, "a third text under an id used before", "en", "a", 0)] + [(9, "", "en", "a", 0)] * 2
+    left = sorted((r.doc_id, r.text) for r in jaccard_join.one_of_each(docs_of(spark, rows)).collect())
+    assert left == sorted([(1, text), (5, rows[4][1]), (1, rows[5][1]), (9, ""), (9, "")])
+
+
+def test_columns_with_clashing_names_pass_through(spark):
+    d = clashing(spark, EDGE)
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    for made in (quality_rules.filter_documents(d, labels), mixing.mix_documents(d), line_dedup.drop_lines(d), substring_dedup.dedup_spans(d), jaccard_join.one_of_each(d)):
+        assert made.columns[: len(d.columns)] == d.columns
+        for r in made.collect():
+            assert [r[c] for c in CLASHES] == list(range(len(CLASHES)))
+    for digest in (mixing.mix_plan, packing.pack_documents, jaccard_join.group_documents, pii.span_digest, line_dedup.line_digest, substring_dedup.dedup_digest, class_lm.score_documents, fingerprints.edit_digest):
+        assert digest(d).count() >= len(EDGE), digest.__name__
+
+
+def test_packing_of_long_white_space(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.vocabulary())
+    rows = [(1, " " * 2_000_000, "en", "a", 0), (2, "\n" * 1_000_000, "en", "a", 0), (3, " \n" * 600_000 + "x", "en", "a", 0), (4, "a\ud800b".encode("utf-8", "replace").decode(), "en", "a", 0)]
+    d = packing.pack_documents(docs_of(spark, rows)).toPandas()
+    for i, text, *_ in rows:
+        ids = np.array([*tok.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        own = d[d.doc_id == i].sort_values("start")
+        assert own.length.sum() == len(ids) and all(zlib.crc32(ids[s : s + n].tobytes()) == c for s, n, c in zip(own.start, own.length, own.ids_crc32))
+
+
+def test_many_spans_take_linear_time(spark):
+    text = "call +1 (017) 555-7713 or 10.0.0.1 now " * 50_000
+    r = pii.span_digest(docs_of(spark, [(1, text, "en", "a", 0)])).first()
+    assert (r.n_phone, r.n_ip) == (50_000, 50_000)
+    spans = base_spans(text)
+    assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, k, e in spans).encode()).hexdigest()
+
+
+def test_secrets_are_found(spark):
+    token = "04dbebab91ab85687d33" + "eeaaf9ac699e1188f962"
+    rows = [(1, f'set token = "{token}" here', "en", "a", 0), (2, f"the word {token} alone stays among plain words", "en", "a", 0), (3, "key " + "AKIA" + "ABCDEFGHIJKLMNOP", "en", "a", 0)]
+    got = {r.doc_id: (r.spans, r.n_spans) for r in pii.span_digest(docs_of(spark, rows)).collect()}
+    assert got[1] == (f"secret:13:{13 + len(token)}", 1) and got[2] == ("", 0) and got[3][0] == "key:4:24"
+
+
+def test_running_states_match_a_loop(spark):
+    from tessera.llm.common import running
+
+    for n in (0, 1, 3, 4, 5, 17):
+        d = spark.createDataFrame([(list(range(n)),)], "xs array<int>").select(running(F.col("xs"), F.lit(10), lambda a, x: a + x, block=4).alias("r"))
+        assert d.first().r == [10 + sum(range(k)) for k in range(n)]
+
+
+# -- independent restatements
+
+
+def test_certified_cutoffs_restated(spark):
+    """kept against a plain loop over grids, strata and exact binomial tails."""
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), int(rng.integers(3, 7))))
+    rows, labels = [], []
+    for i in range(5400):
+        bad = i % 3 == 0
+        ws = [word() + ("#" if bad and rng.random() < 0.5 else "") for _ in range(25)]
+        rows.append((i, " ".join(ws), ("en", "xx")[i % 2], "a", 0))
+        labels.append((i, int(not bad), 0))
+    d = docs_of(spark, rows)
+    got = {r.doc_id: r for r in quality_rules.score_documents(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    feats = {r.doc_id: r["__q"].asDict() for r in quality_rules.with_features(d.select("doc_id", "text", "lang")).collect()}
+    held = {r.doc_id: r.h == 0 for r in d.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("h")).collect()}
+    alpha, delta = quality_rules.ALPHA / len(quality_rules.GRIDS), quality_rules.DELTA / (len(quality_rules.GRIDS) * (len(quality_rules.STRATA) + 1))
+
+    def tail(k, n):
+        p = Fraction(alpha).limit_denominator(10**6)
+        return float(sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1)))
+
+    cut = {}
+    for s in ("en", "other"):
+        own = [(feats[i], q, held[i]) for i, q, _ in labels if feats[i]["stratum"] == s and not feats[i]["base_failed"]]
+        for m, grid in quality_rules.GRIDS.items():
+            best = (0, None)
+            n = sum(1 for f, q, h in own if q and h)
+            for c in grid:
+                if n == 0 or tail(sum(1 for f, q, h in own if q and h and f[m] > c), n) > delta:
+                    break
+                gain = sum(1 for f, q, h in own if not q and not h and f[m] > c) - quality_rules.GOOD_COST * sum(1 for f, q, h in own if q and not h and f[m] > c)
+                best = max(best, (gain, c), key=lambda x: x[0])
+            if best[1] is not None:
+                cut[s, m] = best[1]
+    assert cut
+    for i, r in got.items():
+        f = feats[i]
+        assert r.kept == (not f["base_failed"] and not any(f[m] > cut.get((f["stratum"], m), math.inf) for m in quality_rules.GRIDS))
+    assert sum(not r.kept for r in got.values()) > 100
+
+
+def test_substring_spans_restated(spark):
+    """Sentences and spans by a character loop, without the operator's functions."""
+    rng = np.random.default_rng(13)
+    sent = [" ".join(f"s{rng.integers(0, 400)}" for _ in range(int(rng.integers(2, 36)))) for _ in range(9)]
+    rows = [(i, "".join(sent[int(k)] + rng.choice([". ", ". ", "\n", "! ", ".. "]) for k in rng.integers(0, 9, int(rng.integers(1, 9)))), "en", "a", 0) for i in range(60)]
+
+    def cut(text):
+        out, cur, k = [], "", 0
+        while k < len(text):
+            cur += text[k]
+            ends = text[k] == "\n" or text[k] in ".!?" and k + 1 < len(text) and text[k + 1].isspace()
+            k += 1
+            if ends:
+                while k < len(text) and text[k].isspace():
+                    cur += text[k]
+                    k += 1
+                out.append(cur)
+                cur = ""
+        return out + [cur] * bool(cur)
+
+    seen, gone = {}, {}
+    for i, text, *_ in rows:
+        pieces = [p.lower().split() for p in cut(text)]
+        for a in range(len(pieces)):
+            n, b = 0, a
+            while b < len(pieces) and not (n >= 30 or b - a >= 2 and n >= 15):
+                n += len(pieces[b])
+                b += 1
+            if n >= 30 or b - a >= 2 and n >= 15:
+                name = tuple(map(tuple, pieces[a:b]))
+                if seen.setdefault(name, (i, a)) != (i, a):
+                    gone.setdefault(i, set()).update(range(a, b))
+    got = {r.doc_id: (r.n_sentences, r.n_removed, r.text) for r in substring_dedup.dedup_digest(docs_of(spark, rows)).collect()}
+    assert gone
+    for i, text, *_ in rows:
+        pieces = cut(text)
+        assert got[i] == (len(pieces), len(gone.get(i, ())), "".join(p for k, p in enumerate(pieces) if k not in gone.get(i, ())))
+
+
+def test_class_moves_raise_the_likelihood_by_what_they_say():
+    """The gain of a single move against the likelihood worked out anew from the bigrams."""
+    rng = np.random.default_rng(14)
+    x = rng.integers(0, 12, 3000)
+    x[::7] = 3  # with repeats of a unit next to itself
+    x[1::7] = 3
+    size, many = 12, 4
+    classes = np.concatenate([[0], rng.integers(1, many, size - 1)])
+
+    def tables(c):
+        n, own = np.zeros((2, size, many)), np.zeros(size)
+        for u, v in zip(x, x[1:]):
+            n[0, u, c[v]] += 1
+            n[1, v, c[u]] += 1
+            own[u] += u == v
+        return n, own
+
+    n, own = tables(classes)
+    before = class_lm.likelihood(class_lm.class_pairs(n, classes))
+    best, gain = class_lm.best_moves(n, own, classes)
+    assert (gain > 0).any()
+    for u in range(1, size):
+        change = {}
+        for c in range(1, many):
+            moved = classes.copy()
+            moved[u] = c
+            change[c] = class_lm.likelihood(class_lm.class_pairs(tables(moved)[0], moved)) - before
+        assert abs(gain[u] - max(change.values())) < 1e-6 and abs(change[best[u]] - gain[u]) < 1e-6
+
+
+def test_fingerprints_restated():
+    """Signatures and likeness by loops over characters."""
+    rng = np.random.default_rng(15)
+    mask = (1 << 64) - 1
+
+    def mixed(v):
+        v = (v ^ (v >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        v = (v ^ (v >> 27)) * 0x94D049BB133111EB & mask
+        return v ^ (v >> 31)
+
+    places = [pow(0xBF58476D1CE4E5B9, k + 1, 1 << 64) | 1 for k in range(7)]
+
+    def cuts(text, level):
+        out, start = [], 0
+        for k in range(len(text)):
+            h = mixed(sum((ord(text[k - j]) + 1) * places[j] for j in range(min(7, k + 1))) & mask)
+            if k == len(text) - 1 or h & ((1 << level) - 1) == (1 << level) - 1:
+                out.append(text[start : k + 1])
+                start = k + 1
+        return out
+
+    def indel(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, d in enumerate(b, 1):
+                last, row[j] = row[j], last if c == d else 1 + min(row[j], row[j - 1])
+        return row[-1]
+
+    texts = ["".join(rng.choice(list("abc de\né😀"), int(n))) for n in (1, 6, 40, 63, 64, 65, 300, 700)]
+    texts += [texts[-1][:500] + texts[-2], texts[-1][50:]]
+    prints = fingerprints.fingerprints(texts)
+    for t, p in zip(texts, prints):
+        block, one, two = p.split(":")
+        level = next(k for k in range(64) if len(cuts(t, k)) <= 64)
+        assert int(block) == 1 << level and len(one) == len(cuts(t, level)) and len(two) == len(cuts(t, level + 1))
+        pairs = {}
+        for piece, letter in zip(cuts(t, level), one):
+            assert pairs.setdefault(piece, letter) == letter  # equal chunks, equal letters
+    for p in prints:
+        for q in prints:
+            best = 1.0 if p == q else 0.0
+            for i in (1, 2):
+                for j in (1, 2):
+                    a, b = p.split(":"), q.split(":")
+                    if int(a[0]) << i == int(b[0]) << j:
+                        s, u = a[i], b[j]
+                        short = min(len(s), len(u))
+                        run = min(6, max(short // 2, 2) if short > 1 else short)
+                        if any(s[k : k + run] in u for k in range(len(s) - run + 1)):
+                            best = max(best, 1 - indel(s, u) / (len(s) + len(u)))
+            assert abs(fingerprints.likeness([p], [q])[0] - best) < 1e-9
