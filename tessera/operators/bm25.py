@@ -57,6 +57,14 @@ def build(chunks: DataFrame, text: str = "text", key: str = "chunk_id") -> Index
     return Index(postings, docs, materialize(term_table(postings, docs), "terms"))
 
 
+def update(index: Index, gone: DataFrame, fresh: DataFrame, text: str = "text", key: str = "chunk_id") -> Index:
+    """The index without the chunks in gone (chunk_id) and with those in fresh; only these are tokenized."""
+    new = build(fresh, text, key)
+    postings = materialize(index.postings.join(gone, "chunk_id", "left_anti").unionByName(new.postings), "postings")
+    docs = materialize(index.docs.join(gone, "chunk_id", "left_anti").unionByName(new.docs), "lengths")
+    return Index(postings, docs, materialize(term_table(postings, docs), "terms"))
+
+
 def search(index: Index, queries: DataFrame, k: int = 50, places: int = 6) -> DataFrame:
     """query_id, rank, chunk_id, score (over 0) for queries (query_id, query).
 

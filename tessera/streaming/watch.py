@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessera.functions.text import LANGUAGES
+from tessera.functions.text import LANGUAGES, searchable_text
 from tessera.operators.access import SEARCHES, WINDOW_SECONDS
 
 # Fixed value: the quiet time that closes a batch, in milliseconds.
@@ -56,7 +56,8 @@ def apply_stream(batches: DataFrame, handle: Callable[[DataFrame, int], None], c
 
 
 def delta_handler(store, parse: Callable[[DataFrame], DataFrame], read: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A handler that brings chunks, files and postings up to date with a batch of paths.
+    """A handler that brings chunks, files and postings up to date with a batch of paths. Only the
+    chunks of these paths are tokenized again.
 
     read gives the files (with text, file_hash, total_lines, total_bytes) of a table of paths
     that still exist; the others are deleted.
@@ -68,11 +69,14 @@ def delta_handler(store, parse: Callable[[DataFrame], DataFrame], read: Callable
         paths = batch.select(F.explode("paths").alias("file_path")).distinct()
         files = materialize(read(paths), "changed")
         fresh = materialize(parse(files), "fresh")
+        gone = materialize(store.read("chunks").join(paths, "file_path", "left_semi").select("chunk_id"), "gone")
+        text = fresh.select("chunk_id", searchable_text(F.col).alias("text"))
+        lexical = bm25.update(store.lexical(), gone, text)
         store.write("chunks", store.read("chunks").join(paths, "file_path", "left_anti").unionByName(fresh.select(*store.read("chunks").columns)), by="file_path")
         counts = fresh.groupBy("file_path").agg(F.count("*").cast("int").alias("chunk_count"))
         rows = files.join(counts, "file_path", "left").select("file_path", "file_hash", "language", "total_lines", "total_bytes", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
         store.write("files", store.read("files").join(paths, "file_path", "left_anti").unionByName(rows.select(*store.read("files").columns)))
-        store.save_lexical(bm25.build(store.read("chunks"), text="content"))
+        store.save_lexical(lexical)
 
     return handle
 

@@ -246,3 +246,36 @@ def test_benchmark_report(spark, tmp_path):
     assert report["quality"]["queries"] == 2 and report["quality"]["mrr"] > 0 and set(report["latency"]) == {"analysis_ms", "dense_ms", "sparse_ms", "refinement_ms", "total_ms"}
     benchmark.write_report(spark, report, str(tmp_path / "report"))
     assert "lines_per_second" in spark.read.json(str(tmp_path / "report")).columns
+
+
+def test_watched_changes_reach_the_index(spark, tmp_path):
+    root = tmp_path / "repo"
+    root.mkdir()
+    (root / "a.py").write_text("def apply_tax(x):\n    return x * 1.2\n")
+    (root / "b.py").write_text("def refund(order):\n    return order\n")
+    (root / "c.py").write_text("def stays(order):\n    return order\n")
+    e = Engine(spark, str(root), str(tmp_path / "index"))
+    e.index()
+    (root / "b.py").unlink()
+    (root / "a.py").write_text("def apply_discount(x):\n    return x * 0.8\n")
+    handle = watch.delta_handler(e.store, chunking.chunk_files, lambda paths: src.read_files(spark, str(root)).join(paths, "file_path", "left_semi"))
+    handle(spark.createDataFrame([(["a.py", "b.py"],)], "paths array<string>"), 0)
+    fresh = Engine(spark, str(root), str(tmp_path / "other"))
+    fresh.index()
+    rows = lambda d, *by: sorted(map(tuple, d.select(*by).collect()))
+    assert rows(e.store.read("chunks"), "chunk_id", "content") == rows(fresh.store.read("chunks"), "chunk_id", "content")
+    assert rows(e.store.read("files"), "file_path", "file_hash") == rows(fresh.store.read("files"), "file_path", "file_hash")
+    for table, by in (("postings", ("chunk_id", "term", "tf")), ("docs", ("chunk_id", "dl")), ("terms", ("term", "df"))):
+        assert rows(getattr(e.store.lexical(), table), *by) == rows(getattr(fresh.store.lexical(), table), *by)
+
+
+def test_watch_folder_streams_new_files(spark, tmp_path):
+    root = tmp_path / "in"
+    (root / "deep").mkdir(parents=True)
+    (root / "deep" / "a.py").write_text("x = 1\n")
+    seen: list = []
+    for _ in range(2):
+        q = watch.apply_stream(watch.watch_folder(spark, str(root)), lambda d, n: seen.extend((r.path.rsplit("/", 1)[1], bytes(r.content)) for r in d.collect()), str(tmp_path / "checkpoint"), availableNow=True)
+        assert q.awaitTermination(60)
+        (root / "b.py").write_text("y = 2\n")
+    assert seen == [("a.py", b"x = 1\n"), ("b.py", b"y = 2\n")]
