@@ -32,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Rows and bytes of a batch that reaches a Python worker: whole texts are held, so few at a time.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
