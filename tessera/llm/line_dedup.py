@@ -39,6 +39,8 @@ from tessera.llm.common import map_batches
 from tessera.session import materialize, scratch
 
 DEPTH, SIMILAR, MASKED, DOCUMENTS = 3, 0.7, 0.5, 10
+#: Forms that a task holds before it hands them on.
+ROWS = 2000
 _DIGIT = re.compile(r"[0-9]")
 KEY = ["id", "t"]
 
@@ -72,9 +74,9 @@ def line_forms(docs: DataFrame) -> DataFrame:
         names = ["id", "t", "leaf", "form", "masked", "lines", "words"]
         for b in batches:
             rows = []
-            for i, t, text in zip(*(b.column(c).to_pylist() for c in ("id", "t", "text"))):
-                own: dict[int, list] = {}
-                for k, line in enumerate((text or "").split("\n")):
+            for i, t, text in zip(*(b.column(c) for c in ("id", "t", "text"))):
+                i, t, own = i.as_py(), t.as_py(), {}
+                for k, line in enumerate((text.as_py() or "").split("\n")):
                     form = form_of(line)
                     if form:
                         masked = " ".join(form)
@@ -82,6 +84,9 @@ def line_forms(docs: DataFrame) -> DataFrame:
                         at[2].append(k)
                         at[3] += len(form)
                 rows += [(i, t, leaf, h, masked, lines, words) for h, (leaf, masked, lines, words) in own.items()]
+                if len(rows) > ROWS:
+                    yield dict(zip(names, zip(*rows)))
+                    rows = []
             if rows:
                 yield dict(zip(names, zip(*rows)))
 
