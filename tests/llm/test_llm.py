@@ -596,6 +596,58 @@ def test_class_moves_raise_the_likelihood_by_what_they_say():
         assert abs(gain[u] - max(change.values())) < 1e-6 and abs(change[best[u]] - gain[u]) < 1e-6
 
 
+def test_rare_words_move_by_their_neighbours(spark, monkeypatch):
+    """Classes of words that are no units, and scores, by loops over the tokens; joins and broadcasts both used."""
+    monkeypatch.setattr(class_lm, "UNITS", 3)
+    monkeypatch.setattr(class_lm, "HEAD", 12)
+    monkeypatch.setattr(class_lm, "CLASSES", 5)
+    monkeypatch.setattr(class_lm, "MOST_NEIGHBOURS", 60)
+    rng = np.random.default_rng(21)
+    vocabulary = [f"w{k}{'xyz'[k % 3]}" for k in range(40)]
+    weights = 1 / np.arange(1, 41)
+    rows = [(i, " ".join(rng.choice(vocabulary, int(rng.integers(0, 30)), p=weights / weights.sum())), "en", "a", 0) for i in range(60)]
+    rows += [(9000, "w39z w39z w39z never seen", "en", "a", 0), (9001, None, "en", "a", 0), (None, "w1y w38z", "en", "a", 0)]
+    seen = []
+    weighed = class_lm.weighed
+
+    def capture(encoded, rare, model, column):
+        seen.append((column, rare.collect(), model))
+        return weighed(encoded, rare, model, column)
+
+    monkeypatch.setattr(class_lm, "weighed", capture)
+    got = {r.doc_id: r for r in class_lm.score_documents(docs_of(spark, rows)).collect()}
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    texts = [[*class_lm.tokens_of(r[1]), None] for r in rows if not held(r[0])]
+    count = Counter(t for ts in texts for t in ts)
+    column, rare, model = seen[-1]
+    start = {r.word.encode(): r.start for r in rare} | {w: int(model.unit_classes[k]) for w, k in model.units.own.items()} | {None: 0}
+    assert {r.word.encode(): r.c for r in rare} == {w: c for w, c in count.items() if w is not None and w not in model.units.own}
+
+    def pairs(of):
+        pair = np.zeros((5, 5))
+        for ts in texts:
+            for a, b in zip([None, *ts], ts):
+                pair[of[a], of[b]] += 1
+        return pair
+
+    before = class_lm.likelihood(pairs(start))
+    for r in rare:
+        gains = {c: class_lm.likelihood(pairs(start | {r.word.encode(): c})) - before for c in range(1, 5)}
+        assert gains[r["class"]] >= max(gains.values()) - 1e-6
+    of = start | {r.word.encode(): r[column] for r in rare}
+    pair = pairs(of)
+    assert class_lm.likelihood(pair) >= before - 1e-6 or column == "start"
+    for i, text, *_ in rows:
+        ts, score, at = [*class_lm.tokens_of(text), None], 0.0, 0
+        for t in ts:
+            c = of[t] if t in of else int(model.unit_classes[model.units.shared(t)])
+            n, kinds = pair[at].sum(), (pair[at] > 0).sum()
+            step = (pair[at, c] + kinds * (pair[:, c].sum() + 1) / (pair.sum() + 5)) / (n + kinds)
+            score += math.log10(step * (count[t] + 1) / (sum(count[w] + 1 for w in of if of[w] == c) + 1))
+            at = c
+        assert abs(got[i].score - score) < 1e-9 * len(ts)
+
+
 def test_fingerprints_restated():
     """Signatures and likeness by loops over characters."""
     rng = np.random.default_rng(15)
