@@ -30,6 +30,7 @@ Repeated rows are scored, and counted, one by one. With no training rows every c
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -116,8 +117,8 @@ def unpacked(raw: bytes, kind: str) -> np.ndarray:
 
 
 def encoded_texts(docs: DataFrame, units: Units, head: list[bytes]) -> DataFrame:
-    """A row for each document: ids of its tokens (0 the end, then the frequent words, then the text's
-    other words, which are its tail) and their units."""
+    """A row for each document: the units of its tokens, and the ids of those that are no units of their own
+    (frequent words, then the text's other words, which are its tail)."""
     send = docs.sparkSession.sparkContext.broadcast((units, head))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -130,10 +131,12 @@ def encoded_texts(docs: DataFrame, units: Units, head: list[bytes]) -> DataFrame
             for i, held, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "held", "text"))):
                 ws = tokens_of(text)
                 tail: dict[bytes, int] = {}
-                ids = np.fromiter((known.get(w) or tail.setdefault(w, len(words) + 1 + len(tail)) for w in ws), np.int64, len(ws))
-                ids = np.append(ids, 0)
-                of = np.concatenate([unit_of, np.fromiter(map(u.of, tail), np.int64, len(tail))])
-                out.append((row, i, held, packed(ids, "<u4"), packed(of[ids], "<u2"), [*map(text_of, tail)]))
+                ids = np.fromiter(map(known.get, ws, itertools.repeat(0)), np.int64, len(ws))
+                of, rare = unit_of[ids], np.flatnonzero(ids == 0)
+                at = np.fromiter((tail.setdefault(ws[k], len(tail)) for k in rare.tolist()), np.int64, len(rare))
+                ids[rare] = at + len(words) + 1
+                of[rare] = np.fromiter(map(u.shared, tail), np.int64, len(tail))[at]
+                out.append((row, i, held, packed(ids[of >= u.first_shared], "<u4"), packed(np.append(of, 0), "<u2"), [*map(text_of, tail)]))
                 row += 1
             if out:
                 yield dict(zip(["row", "doc_id", "held", "ids", "units", "tail"], zip(*out)))
@@ -315,12 +318,15 @@ def word_neighbours(encoded: DataFrame, units: Units, head: list[bytes], classes
 
         for b in batches:
             for raw, raw_units, tail in zip(*(b.column(c).to_pylist() for c in ("ids", "units", "tail"))):
-                x, c = unpacked(raw, "<u4"), of[unpacked(raw_units, "<u2")]
+                x = unpacked(raw_units, "<u2")
+                c, other = of[x], x > own
+                x[other] = unpacked(raw, "<u4")
                 names = np.fromiter((tails.setdefault(t, len(tails)) for t in tail), np.int64, len(tail)) + frequent + 1
-                x = np.where(x > frequent, np.concatenate([names, [0]])[np.maximum(x - frequent - 1, 0).clip(max=len(names))], x)
+                rare = x > frequent
+                x[rare] = names[x[rare] - frequent - 1]
                 after, before, next_word = np.append(c[1:], 0), np.concatenate([[0], c[:-1]]), np.append(x[1:], 0)
                 # a text ends with the end, so every word has one after it
-                here = np.flatnonzero(x > own)
+                here = np.flatnonzero(other)
                 w = x[here] * SPAN
                 keys = [w + after[here], w + SIDE + before[here], w[next_word[here] == x[here]] + 2 * SIDE]
                 held += keys
@@ -378,7 +384,8 @@ class Model:
 
     def __init__(self, units: Units, unit_classes: np.ndarray, head: list[bytes], head_counts: np.ndarray, head_classes: np.ndarray, inside: np.ndarray, ends: int):
         self.units, self.unit_classes, self.frequent = units, unit_classes, len(head)
-        self.counts = np.concatenate([[ends], head_counts])
+        self.ends, self.own = ends, len(units.own)
+        self.log_counts = np.log10(np.concatenate([[ends], head_counts]) + 1.0)
         self.classes = np.concatenate([[0], head_classes]).astype(np.int64)
         self.log_inside = np.log10(inside)
 
@@ -393,19 +400,25 @@ def weighed(encoded: DataFrame, rare: DataFrame, model: Model, column: str) -> D
         m = send.value
         for b in batches:
             out = []
-            for i, held, raw, tail, found in zip(*(b.column(c) for c in ("doc_id", "held", "ids", "tail", "found"))):
-                x, tail = unpacked(raw.as_py(), "<u4"), tail.as_py()
-                c, of = np.zeros(len(tail), np.int64), m.unit_classes[np.fromiter((m.units.of(w.encode("utf-8", "surrogatepass")) for w in tail), np.int64, len(tail))]
+            for i, held, raw_units, raw, many, found in zip(*(b.column(c) for c in ("doc_id", "held", "units", "ids", "many", "found"))):
+                x = unpacked(raw_units.as_py(), "<u2")
+                of, other = m.unit_classes[x], x > m.own
+                x[other] = unpacked(raw.as_py(), "<u4")
+                rare = x > m.frequent
+                of[~rare] = m.classes[x[~rare]]
+                c, at = np.zeros(many.as_py(), np.int64), x[rare] - m.frequent - 1
+                to = np.full(len(c), -1)
                 if found.is_valid:
-                    k, n, at = (found.values.field(f).to_numpy() for f in ("k", "c", "class"))
-                    c[k], of[k] = n, at
-                c, of = np.concatenate([m.counts, c])[x], np.concatenate([m.classes, of])[x]
-                lg = math.fsum(np.log10(c + 1))
-                out.append((i.as_py(), held.as_py(), len(x), int((c > 0).sum()), lg, lg - math.fsum(m.log_inside[of]), packed(of, "u1")))
+                    k, n, kind = (found.values.field(f).to_numpy() for f in ("k", "c", "class"))
+                    c[k], to[k] = n, kind
+                of[rare] = np.where(to[at] < 0, of[rare], to[at])
+                lg = float(m.log_counts[x[~rare]].sum() + np.log10(c + 1)[at].sum())
+                known = len(x) - int((c[at] == 0).sum()) - (m.ends == 0)
+                out.append((i.as_py(), held.as_py(), len(x), known, lg, lg - float(m.log_inside[of].sum()), packed(of, "u1")))
             if out:
                 yield dict(zip(["doc_id", "held", "n", "known", "base", "emit", "classes"], zip(*out)))
 
-    return map_batches(encoded.join(rows, "row", "left").select("doc_id", "held", "ids", "tail", "found"), WEIGHED, run)
+    return map_batches(encoded.withColumn("many", F.size("tail")).drop("tail").join(rows, "row", "left").select("doc_id", "held", "units", "ids", "many", "found"), WEIGHED, run)
 
 
 def pairs_of(texts: DataFrame, many: int) -> np.ndarray:
