@@ -54,6 +54,8 @@ HELD_OUT, FOLDS = 2, 7
 MOST_HELD = 400_000
 #: Neighbours that a task gathers before it hands them on, by word.
 MOST_NEIGHBOURS = 2_000_000
+#: Parts of words' neighbours that are looked at together.
+LOT = 8000
 #: Codes of a word's neighbours: the class after it, SIDE more for the class before, 2 * SIDE for the word itself.
 SIDE, SPAN = 64, 256
 ENCODED = "row long, doc_id long, held boolean, ids binary, units binary, tail array<string>"
@@ -342,7 +344,7 @@ def word_neighbours(encoded: DataFrame, units: Units, head: list[bytes], classes
 
 def word_classes(neighbours: DataFrame, units: Units, classes: np.ndarray, pair: np.ndarray) -> DataFrame:
     """word, c, start, class for each training word that is no unit of its own. A word's parts meet in one
-    task, one after the other, so a task holds one batch."""
+    task, one after the other, so a task holds a lot of LOT parts."""
     send = neighbours.sparkSession.sparkContext.broadcast((units, classes, pair))
 
     def moved(words: list[str], word: np.ndarray, code: np.ndarray, n: np.ndarray) -> dict:
@@ -352,12 +354,20 @@ def word_classes(neighbours: DataFrame, units: Units, classes: np.ndarray, pair:
         after = code < SIDE
         return {"word": words, "c": np.bincount(word[after], n[after], len(words)).astype(np.int64), "start": start, "class": np.where(gain > 1e-9, best, start)}
 
+    def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[bytes]]]:
+        names, parts = [], []
+        for b in batches:
+            names += b.column("word").to_pylist()
+            parts += b.column("n").to_pylist()
+            if len(names) >= LOT:
+                yield names, parts
+                names, parts = [], []
+        if names:
+            yield names, parts
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         last, rest = None, (np.empty(0, np.int64),) * 2  # the word that may go on in the next batch
-        for b in batches:
-            names, parts = b.column("word").to_pylist(), b.column("n").to_pylist()
-            if not names:
-                continue
+        for names, parts in lots(batches):
             words = [] if last is None else [last]
             of = []
             for w in names:
