@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,9 @@ from tessera import fixtures as fx
 from tessera.functions import text as tx
 from tessera.operators import access, bm25, chunking, dense, evaluation, formatting, fusion, graph, incremental, navigation, ranking
 from tessera.plans.search import Settings, search
-from tessera.session import materialize, table
+from tessera.session import materialize, shared_dir, table
+from tessera.sources import files
+from tessera.sources.store import Store
 from tessera.streaming import watch
 
 QUERIES: dict = {}
@@ -547,6 +551,113 @@ def rag_prompt(spark, sf_dir):
     return formatting.rag_prompt(_results(spark, sf_dir), questions(spark, sf_dir))
 
 
+# -- the state of an index: its store, counts, rebuilds and files
+
+
+_PATHS = "concat('d/', doc_id)"
+
+
+def _as_files(spark, sf_dir):
+    """documents as files: file_path, text, language."""
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("file_path"), "text", F.col("lang").alias("language"), "source")
+
+
+@query("""WITH s AS (SELECT CAST(count(*) AS DOUBLE) AS f, CAST(sum(len(string_split(text, chr(10)))) AS DOUBLE) AS l, CAST(sum(strlen(text)) AS DOUBLE) AS b FROM documents)
+SELECT unnest(['total_files', 'total_chunks', 'total_lines', 'total_bytes', 'seconds', 'lines_per_second']) AS key, unnest([f, f, l, b, 2.0::DOUBLE, l / 2]) AS value FROM s""")
+def index_manifest(spark, sf_dir):
+    d = _as_files(spark, sf_dir).select(F.size(F.split("text", "\n", -1)).alias("total_lines"), F.octet_length("text").alias("total_bytes"), F.lit(1).alias("chunk_count"))
+    return incremental.manifest(d, 2.0).select("key", F.get_json_object("value", "$.value").cast("double").alias("value"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def delete_rows(spark, sf_dir):
+    gone = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return incremental.delete(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), gone, ["l_orderkey"])
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS chunk_id, {_PATHS} AS file_path, sha256(CASE WHEN lang = 'de' THEN text || '!' ELSE text END) AS digest FROM documents WHERE (source <> 'src1' OR lang = 'de') AND lang <> 'fr'")
+def store_round_trip(spark, sf_dir):
+    """Documents as chunks in a store: saved, some replaced or added, the files of a language deleted, read in order."""
+    d = _as_files(spark, sf_dir).withColumns({"chunk_id": F.substr("file_path", F.lit(3)), "start_line": F.lit(1)})
+    chunks = d.withColumnRenamed("text", "content")
+    store = Store(spark, f"{shared_dir(spark)}/tessera-store/{uuid.uuid4().hex}")
+    store.save_chunks(chunks.where("source <> 'src1'"))
+    store.save_chunks(chunks.where("language = 'de'").withColumn("content", F.concat("content", F.lit("!"))))
+    store.record_files(d.select("file_path", F.sha2("text", 256).alias("file_hash")))
+    store.delete_files(d.where("language = 'fr'").select("file_path"))
+    out = materialize(store.all_chunks().select("chunk_id", "file_path", F.sha2("content", 256).alias("digest")), "store")
+    store.clear()
+    return out
+
+
+_STATE = "(SELECT doc_id, source, CASE WHEN lang = 'de' THEN text || '!' ELSE text END AS text FROM documents WHERE lang <> 'fr')"
+
+
+@query(f"WITH {_windows_sql(_STATE, _PATHS, 10, 2)}")
+def rebuild_changed(spark, sf_dir):
+    """Chunks brought from one state of the files to the next, by parsing what changed only."""
+    d = _as_files(spark, sf_dir)
+    hashed = lambda x: x.withColumn("file_hash", F.sha2("text", 256))
+    old, now = hashed(d.where("source <> 'src1'")), hashed(d.where("language <> 'fr'").withColumn("text", F.when(F.col("language") == "de", F.concat("text", F.lit("!"))).otherwise(F.col("text"))))
+    parse = lambda files: _window_rows(files, 10, 2)
+    return incremental.apply_changes(parse(old), now, incremental.change_set(old, now), parse)
+
+
+@query(f"SELECT {_PATHS} AS file_path, array_to_string({_lines('text')}[2:5], chr(10)) AS content FROM documents WHERE doc_id = 0")
+def line_range(spark, sf_dir):
+    return files.line_range(_as_files(spark, sf_dir), "d/0", 2, 5)
+
+
+#: Names that are read, and names that patterns, hidden parts or extensions leave out.
+_NAMES = ("main.py", "id_rsa.py", "my_secret.ts", "Makefile", ".env.js", "app.min.js", "notes.xyz", "vendor/a.go", "b.GO", "redis-stable-7/x.c")
+
+
+def _globs(c: str) -> str:
+    return " OR ".join(f"{c} GLOB '{p}'" for p in files.IGNORED)
+
+
+@query(f"""WITH p AS (SELECT page_id, length(html) * 200 AS size, concat(regexp_extract(url, '://[^/?#]*/([^?#]*)', 1), '/', [{', '.join(f"'{n}'" for n in _NAMES)}][CAST(page_id % {len(_NAMES)} AS INTEGER) + 1]) AS path FROM pages), q AS (SELECT *, string_split(path, '/') AS parts FROM p)
+SELECT page_id, path, ({_globs('path')}) OR len(list_filter(parts, lambda x: {_globs('x')})) > 0 OR len(list_filter(parts, lambda x: starts_with(x, '.') AND x NOT IN ('.', '..'))) > 0
+OR NOT (lower(regexp_extract(parts[-1], '.(\\.[^.]+)$', 1)) IN ({', '.join(f"'{e}'" for e in files.EXTENSIONS)}) OR parts[-1] IN ({', '.join(f"'{e}'" for e in files.PLAIN_NAMES)})) OR size > {files.MOST_BYTES} AS ignored FROM q""")
+def ignored_paths(spark, sf_dir):
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("page_id") % len(_NAMES) + 1).cast("int"))
+    d = table(spark, sf_dir, "pages").select("page_id", (F.length("html") * 200).alias("size"), F.concat(F.regexp_extract("url", "://[^/?#]*/([^?#]*)", 1), F.lit("/"), name).alias("path"))
+    return d.select("page_id", "path", files.is_ignored(F.col("path"), F.col("size"), list(files.IGNORED)).alias("ignored"))
+
+
+@query("SELECT vec_id, CAST(j AS INTEGER) AS place, round(list_sum(list_transform(range(0, 8), lambda i: CASE WHEN i <= vec_id % 8 THEN CAST(embedding[i * 8 + j + 1] AS DOUBLE) ELSE 0 END)) / (vec_id % 8 + 1), 6) AS value FROM embeddings, range(0, 8) r(j)")
+def mean_pooling(spark, sf_dir):
+    """Vectors as eight vectors of tokens, of which a mask hides some."""
+    eight = F.sequence(F.lit(0), F.lit(7))
+    tokens = F.transform(eight, lambda i: F.slice(F.col("embedding").cast("array<double>"), i * 8 + 1, F.lit(8)))
+    mask = F.transform(eight, lambda i: F.when(i <= F.col("vec_id") % 8, 1.0).otherwise(0.0))
+    d = table(spark, sf_dir, "embeddings").select("vec_id", dense.mean_pool(tokens, mask).alias("v"))
+    return d.select("vec_id", F.posexplode("v").alias("place", "value")).withColumn("value", F.round("value", 6))
+
+
+_RERANKED = f"""{_BM25}, h AS (SELECT sp.query_id, sp.rank, chunk_id, {meaningful_sql(tokens_sql('b.text'))} AS q, {meaningful_sql(tokens_sql(f"substr(concat('File: ', source, chr(10), 'Language: ', lang, chr(10), 'Code:', chr(10), d.text), 1, {ranking.RERANK_CHARS})"))} AS t FROM sp JOIN documents d ON doc_id = chunk_id JOIN benchmark b ON item_id = query_id WHERE sp.rank <= 20),
+rs AS (SELECT query_id, rank, chunk_id, CASE WHEN len(q) = 0 THEN 0 ELSE round(len(list_filter(q, lambda x: list_contains(t, x)))::DOUBLE / len(q), 6) END AS rerank_score FROM h)"""
+
+
+@query(f"WITH {_RERANKED} SELECT query_id, rank, chunk_id, rerank_score, round(rerank_score + 0.25, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS r FROM rs) WHERE r <= 10")
+def rerank_topk(spark, sf_dir):
+    """The built-in reranker over the twenty best lexical hits, and the final score beside a boost."""
+    none = {c: F.lit(None).cast("string") for c in ("parent_scope", "symbol_name", "symbol_type", "context_header", "docstring")}
+    c = corpus(spark, sf_dir)
+    hits = bm25.search(bm25.build(c), questions(spark, sf_dir), 20).join(c.withColumnRenamed("text", "content"), "chunk_id").join(questions(spark, sf_dir), "query_id")
+    d = ranking.rerank(hits.withColumns(none | {"boost": F.lit(0.25)}), keep=10)
+    return d.select("query_id", "rank", "chunk_id", "rerank_score", ranking.final_score(True).alias("score"))
+
+
+@query(f"""WITH f AS (SELECT doc_id, {_PATHS} AS path, regexp_extract_all(text, '[^\n]*\n|[^\n]+$') AS ls FROM documents WHERE text <> ''), g AS (SELECT *, least(len(ls), 4) AS n FROM f)
+SELECT doc_id AS query_id, path AS file_path, concat('--- a/', path, chr(10), '+++ b/', path, chr(10), '@@ -1', CASE WHEN n = 1 THEN '' ELSE ',' || n END, ' +1,', n + 1, ' @@', chr(10), ' ', ls[1], '+# review', chr(10), array_to_string(list_transform(ls[2:n], lambda x: ' ' || x), '')) AS diff FROM g""")
+def unified_diffs(spark, sf_dir):
+    """A comment put before the second line of each document."""
+    f = _as_files(spark, sf_dir).where("text <> ''")
+    hits = f.select(F.substr("file_path", F.lit(3)).cast("long").alias("query_id"), "file_path", F.lit(1).alias("final_rank"), F.lit(2).alias("start_line"), F.lit("python").alias("language"))
+    return formatting.unified_diffs(hits, f)
+
+
 # -- whole searches
 
 
