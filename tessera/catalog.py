@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera import fixtures as fx
 from tessera.functions import text as tx
 from tessera.operators import access, bm25, chunking, dense, evaluation, formatting, fusion, graph, incremental, navigation, ranking
+from tessera.plans import benchmark
 from tessera.plans.search import Settings, search
 from tessera.session import materialize, shared_dir, table
 from tessera.sources import files
@@ -658,6 +659,62 @@ def unified_diffs(spark, sf_dir):
     return formatting.unified_diffs(hits, f)
 
 
+# -- models that a caller brings
+
+
+class _Marks:
+    """A stand-in for an encoder: a text sets the four dimensions from its length on."""
+
+    dim = 8
+
+    def encode(self, texts):
+        return [[float((j - len(t)) % 8 < 4) for j in range(8)] for t in texts]
+
+
+class _Broken:
+    """A stand-in for a reranker that fails."""
+
+    def score(self, pairs):
+        raise RuntimeError("no scores")
+
+
+@query("SELECT doc_id AS chunk_id, CAST(j AS INTEGER) AS place, CASE WHEN (j - length(coalesce(text, '')) % 8 + 8) % 8 < 4 THEN 0.5::DOUBLE ELSE 0 END AS value FROM documents, range(0, 8) r(j)")
+def encode_texts(spark, sf_dir):
+    """Each text through the caller's encoder, once; vectors have length one."""
+    d = dense.encode(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), _Marks)
+    return d.select("chunk_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("place", "value"))
+
+
+@query(f"WITH {_KNN} SELECT query_id, rank, chunk_id, round(1.0::DOUBLE / rank, 6) AS rerank_score FROM de WHERE rank <= 10")
+def rerank_fallback(spark, sf_dir):
+    """A reranker that fails leaves the order of the ranking before it."""
+    hits = dense.knn(vectors(spark, sf_dir), probes(spark, sf_dir), 20)
+    none = {c: F.lit(None).cast("string") for c in ("language", "parent_scope", "symbol_name", "symbol_type", "context_header", "docstring")}
+    hits = hits.withColumns(none | {"file_path": F.lit("f"), "query": F.lit("q"), "content": F.col("chunk_id").cast("string")})
+    return ranking.rerank(hits, _Broken, keep=10).select("query_id", "rank", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"))
+
+
+# -- the symbols of a generated source tree, as many modules as there are documents
+
+_TREE = f"""m AS (SELECT id, CAST(id AS VARCHAR) AS n, [{', '.join(f"'{x}'" for x in benchmark.SUBJECTS)}][CAST(id % {len(benchmark.SUBJECTS)} AS INTEGER) + 1] AS s, [{', '.join(f"'{x}'" for x in benchmark.ACTIONS)}][CAST(id // {len(benchmark.SUBJECTS)} % {len(benchmark.ACTIONS)} AS INTEGER) + 1] AS a, id * 37 % 100 AS share FROM range(0, (SELECT count(*) FROM documents)) r(id)),
+k AS (SELECT *, upper(s[1]) || s[2:] || upper(a[1]) || a[2:] || n AS name, 'src/' || s || '/' || a || '_' || n AS path FROM m),
+f AS (SELECT *, CAST(j AS INTEGER) AS j, a || '_' || s || '_' || n || '_' || j AS method FROM k, range(1, {benchmark.METHODS + 1}) r(j)),
+sy AS (SELECT path || '.py' AS file_path, a || '_' || n AS symbol_name, 'module' AS symbol_type, NULL AS parent_scope, 1 AS start_line, 3 AS end_line, 'Module ' || a || '_' || n || '.py docstring' AS context_header, 'The ' || s || ' module.' AS docstring, 'math' AS dependencies FROM k WHERE share < 60
+UNION ALL SELECT path || '.py', name, 'class', NULL, 6, 8, 'class ' || name, 'Can ' || a || ' the ' || s || '.', 'math' FROM k WHERE share < 60
+UNION ALL SELECT path || '.py', method, 'method', name, 6 * j + 3, 6 * j + 7, 'class ' || name || ' > def ' || method || '(self, value, limit)', 'Step ' || j || ' to ' || a || ' a ' || s || '.', 'math' FROM f WHERE share < 60
+UNION ALL SELECT path || '.ts', name, 'class', NULL, CASE WHEN j = 1 THEN 1 ELSE 66 END, CASE WHEN j = 1 THEN 75 ELSE 86 END, 'Typescript class: ' || name || ' [part ' || j || ']', NULL, '' FROM f WHERE share >= 60 AND share < 85 AND j <= 2
+UNION ALL SELECT path || '.go', name, 'struct', NULL, 3, 5, 'Go struct: ' || name, NULL, '' FROM k WHERE share >= 85
+UNION ALL SELECT path || '.go', method, 'method', NULL, 7 * j, 7 * j + 5, 'Go method: ' || method, NULL, '' FROM f WHERE share >= 85)"""
+
+
+@query(f"WITH {_TREE} SELECT * FROM sy")
+def tree_symbols(spark, sf_dir):
+    """Modules, classes, methods, types and functions of three languages, each by its parser."""
+    count = table(spark, sf_dir, "documents").count()
+    d = chunking.chunk_files(benchmark.source_tree(spark, count * 6 * benchmark.METHODS)).where("language <> 'markdown'")
+    return d.select("file_path", "symbol_name", "symbol_type", "parent_scope", "start_line", "end_line", "context_header", "docstring", F.array_join("dependencies", ",").alias("dependencies"))
+
+
 # -- whole searches
 
 
