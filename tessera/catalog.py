@@ -707,12 +707,57 @@ UNION ALL SELECT path || '.go', name, 'struct', NULL, 3, 5, 'Go struct: ' || nam
 UNION ALL SELECT path || '.go', method, 'method', NULL, 7 * j, 7 * j + 5, 'Go method: ' || method, NULL, '' FROM f WHERE share >= 85)"""
 
 
+def _tree_chunks(spark, sf_dir):
+    count = table(spark, sf_dir, "documents").count()
+    return chunking.chunk_files(benchmark.source_tree(spark, count * 6 * benchmark.METHODS))
+
+
 @query(f"WITH {_TREE} SELECT * FROM sy")
 def tree_symbols(spark, sf_dir):
     """Modules, classes, methods, types and functions of three languages, each by its parser."""
-    count = table(spark, sf_dir, "documents").count()
-    d = chunking.chunk_files(benchmark.source_tree(spark, count * 6 * benchmark.METHODS)).where("language <> 'markdown'")
-    return d.select("file_path", "symbol_name", "symbol_type", "parent_scope", "start_line", "end_line", "context_header", "docstring", F.array_join("dependencies", ",").alias("dependencies"))
+    return _tree_chunks(spark, sf_dir).where("language <> 'markdown'").select("file_path", "symbol_name", "symbol_type", "parent_scope", "start_line", "end_line", "context_header", "docstring", F.array_join("dependencies", ",").alias("dependencies"))
+
+
+@query(f"WITH {_TREE}, rq AS (SELECT id AS request_id, name FROM k) SELECT request_id, file_path, CAST(start_line - 1 AS INTEGER) AS start_0, CAST(end_line - 1 AS INTEGER) AS end_0 FROM rq JOIN sy ON lower(name) = lower(symbol_name)")
+def tree_definitions(spark, sf_dir):
+    """The definition of each module's type, asked for in capitals."""
+    lines = table(spark, sf_dir, "documents").count() * 6 * benchmark.METHODS
+    named = F.concat(F.initcap("subject"), F.initcap("action"), "number")
+    asked = benchmark.modules(spark, lines).select(F.col("number").cast("long").alias("request_id"), F.upper(named).alias("symbol"))
+    return navigation.definitions(asked, _tree_chunks(spark, sf_dir)).select("request_id", "file_path", "start_0", "end_0")
+
+
+@query("SELECT doc_id, concat('[', source, '/', doc_id, ':L1', CASE WHEN n = 1 THEN '' ELSE '-L' || n END, '](file:///', source, '/', doc_id, '#L1-L', n, ')') AS link FROM (SELECT *, len(string_split(text, chr(10))) AS n FROM documents)")
+def citation_links(spark, sf_dir):
+    path, start = F.concat("source", F.lit("/"), F.col("doc_id").cast("string")), F.lit(1)
+    d = table(spark, sf_dir, "documents").withColumn("n", F.size(F.split("text", "\n", -1)))
+    return d.select("doc_id", tx.markdown_link(tx.citation(path, start, F.col("n")), F.concat(F.lit("file:///"), path), start, F.col("n")).alias("link"))
+
+
+@query(ORACLES["term_stats"])
+def lexical_store(spark, sf_dir):
+    """The terms of an index that was written and read again."""
+    store = Store(spark, f"{shared_dir(spark)}/tessera-store/{uuid.uuid4().hex}")
+    store.save_lexical(bm25.build(corpus(spark, sf_dir)))
+    out = materialize(store.lexical().terms.select("term", "df", F.round("idf", 9).alias("idf")), "lexical")
+    store.clear()
+    return out
+
+
+@query("SELECT unnest(['chunks', 'files', 'vectors', 'manifest']) AS name, unnest([true, true, false, false]) AS ready, unnest([(SELECT count(*) FROM documents), (SELECT count(DISTINCT source) FROM documents), NULL, NULL]) AS n")
+def store_catalogue(spark, sf_dir):
+    """Which tables a store has, and what SQL counts in their views."""
+    store, name = Store(spark, f"{shared_dir(spark)}/tessera-store/{uuid.uuid4().hex}"), f"t{uuid.uuid4().hex}"
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("file_path"))
+    store.save_chunks(d)
+    store.record_files(d.select("file_path"))
+    ready = store.catalogue(name)
+    counts = " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {name}_{t}" for t in ("chunks", "files"))
+    out = materialize(ready.join(spark.sql(counts), "name", "left"), "catalogue")
+    store.clear()
+    for t in ("chunks", "files"):
+        spark.catalog.dropTempView(f"{name}_{t}")
+    return out
 
 
 # -- whole searches
