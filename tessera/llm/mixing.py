@@ -80,8 +80,8 @@ def inverse_demand(share: Column, kind: Column, schedules=SCHEDULES) -> Column:
 
 
 def plan(docs: DataFrame, carry: Sequence[str] = (), weights=WEIGHTS, epochs: float = EPOCHS, cap: float = CAP, schedules=SCHEDULES) -> DataFrame:
-    """carry columns, __id, __size, source_size, target, __t1, __t2 (words taken in the first and the
-    second pass), __p1, __p2 (their positions). docs is read twice: for the sums and for the rows."""
+    """carry columns, __id, __size, source_size, target, __bucket, __number (a key of the row), __t1, __t2 (words taken
+    in the first and the second pass), __p1, __p2 (their positions). docs is read twice: for the sums and for the rows."""
     key = F.md5(F.coalesce(F.col("__id").cast("string"), F.lit("")))
     size = word_count(F.col("text"))
     d = docs.select(*(F.col(f"`{c}`") for c in carry), F.col("doc_id").alias("__id"), F.col("source").alias("__source"), size.alias("__size"))
@@ -93,14 +93,15 @@ def plan(docs: DataFrame, carry: Sequence[str] = (), weights=WEIGHTS, epochs: fl
     offsets = sums.withColumn("__before", F.coalesce(F.sum("__size").over(by_bucket), F.lit(0))).drop("__size")
     offsets = offsets.join(targets, F.col("__source").eqNullSafe(F.col("__s"))).select("__bucket", "__before", "source_size", "rank", "target")
     both = d.join(offsets, "__bucket")
-    within = W.partitionBy("__bucket").orderBy("__key", F.asc_nulls_first("__id"), "__size").rowsBetween(W.unboundedPreceding, -1)
-    both = both.withColumn("__before", F.col("__before") + F.coalesce(F.sum("__size").over(within), F.lit(0)))
+    within = W.partitionBy("__bucket").orderBy("__key", F.asc_nulls_first("__id"), "__size")
+    earlier = F.coalesce(F.sum("__size").over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    both = both.withColumn("__before", F.col("__before") + earlier).withColumn("__number", F.row_number().over(within))
     budget = F.floor("target")
     take = lambda left: F.greatest(F.lit(0).cast("long"), F.least(F.col("__size"), left)).cast("long")
     share = lambda c: F.coalesce(F.least(F.lit(1.0), c / F.when(F.col("target") > 0, F.col("target"))), F.lit(0.0))
     kind = F.col("rank") % len(schedules)
     return both.select(
-        *(F.col(f"`{c}`") for c in carry), "__id", "__size", "source_size", "target",
+        *(F.col(f"`{c}`") for c in carry), "__id", "__size", "source_size", "target", "__bucket", "__number",
         take(budget - F.col("__before")).alias("__t1"), take(budget - F.col("source_size") - F.col("__before")).alias("__t2"),
         inverse_demand(share(F.col("__before")), kind, schedules).alias("__p1"), inverse_demand(share(F.col("__before") + F.col("source_size")), kind, schedules).alias("__p2"),
     )
@@ -113,19 +114,40 @@ def mix_plan(docs: DataFrame, **how) -> DataFrame:
     return p.select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target", taken.alias("taken"), F.when(taken > 0, F.round("__p1", 9)).alias("position"))
 
 
-def mix_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mixture: a row for each time that a document is taken, range-sorted by training position.
+def mixture(docs: DataFrame, others: bool = False, **how) -> DataFrame:
+    """The columns of plan, row (a struct of the columns of docs) and text, range-sorted by __p, the training position.
 
-    The columns are those of docs. A document that the target cuts keeps its leading words.
+    A row for each time that a document is taken, with the text as taken: a document that the
+    target cuts keeps its leading words. With others, documents that are never taken follow,
+    once each, with null for __p, row and text.
     """
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     p = plan(docs.select(row, "doc_id", "source", "text"), ["row"], **how)
-    passes = F.array(*(F.struct(F.col(f"__t{k}").alias("t"), F.col(f"__p{k}").alias("p")) for k in (1, 2)))
-    p = p.withColumn("__pass", F.explode(F.filter(passes, lambda x: x["t"] > 0)))
+    passes = F.filter(F.array(*(F.struct(F.col(f"__t{k}").alias("t"), F.col(f"__p{k}").alias("p")) for k in (1, 2))), lambda x: x["t"] > 0)
+    p = p.withColumn("__pass", (F.explode_outer if others else F.explode)(passes))
+    if others:  # their texts do not move again
+        p = p.withColumn("row", F.when(F.col("__pass").isNotNull(), F.col("row")))
     pieces = F.split("row.text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])", -1)
     # white space before the first word is a piece of its own
     lead = F.when(F.col("row.text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
     head = F.array_join(F.slice(pieces, F.lit(1), (F.col("__pass.t") + lead).cast("int")), "")
     text = F.when(F.col("__pass.t") < F.col("__size"), head).otherwise(F.col("row.text"))
-    out = [text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]
-    return p.sort("__pass.p", "__id").select(*out)
+    return p.sort(F.asc_nulls_last("__pass.p"), "__id").withColumn("__p", F.col("__pass.p")).withColumn("text", text)
+
+
+def mix_documents(docs: DataFrame, **how) -> DataFrame:
+    """The mixture: a row for each time that a document is taken, range-sorted by training position.
+
+    The columns are those of docs. A document that the target cuts keeps its leading words.
+    """
+    return mixture(docs, **how).select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
+
+
+def mix_digest(docs: DataFrame, **how) -> DataFrame:
+    """The columns of mix_plan, derived from the mixture itself: the words of the texts in it, and the
+    position where a document first comes in the sorted order."""
+    m = mixture(docs.select("doc_id", "source", "text"), others=True, **how)
+    m = m.withColumn("__words", word_count(F.col("text"))).withColumn("__place", F.monotonically_increasing_id())
+    own = m.groupBy("__bucket", "__number", F.col("__id").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target")
+    digest = own.agg(F.sum("__words").alias("taken"), F.round(F.min_by("__p", "__place"), 9).alias("position"))
+    return digest.drop("__bucket", "__number")

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import class_lm, fingerprints, jaccard_join, line_dedup, mixing, packing, pii, quality_rules, substring_dedup, url_filter
+from tessera.llm import class_lm, fingerprints, jaccard_join, line_dedup, mixing, packing, pii, quality_rules, queries, substring_dedup, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -105,6 +105,30 @@ def test_curriculum_moves_sources(spark):
     assert all(abs(r.k1 - i / 10) < 1e-9 for i, r in enumerate(t)) and t[5].k0 < 0.5 < t[5].k2 and t[10].k0 == t[10].k2 == 1.0
 
 
+def test_mixing_query_reads_the_sorted_mixture(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = ODD + [(i // 2, " w1\tw2\n" * int(rng.integers(0, 30)), "en", [None, "", "a", "b", "c"][i % 5], 0) for i in range(400)]
+    docs = docs_of(spark, [*rows, (None, "no id", "en", "a", 0), (None, "no id", "en", "a", 0)])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    q = queries.op2_mixing(spark, str(tmp_path))
+    # the query's rows come out of the range sort of the mixture, not of the plan alone
+    assert "rangepartitioning" in q._jdf.queryExecution().executedPlan().toString()
+    want = mixing.mix_plan(docs)
+    assert q.dtypes == want.dtypes
+    flat = lambda d: sorted(map(tuple, d.collect()), key=repr)
+    got = flat(q)
+    assert got == flat(want) and any(r[4] == 0 for r in got) and any(r[4] > r[1] for r in got)
+    # its words are those of the texts in the mixture, cut ones included
+    words = Counter()
+    for r in mixing.mix_documents(docs).collect():
+        words[r.doc_id] += len(WORD.findall(r.text))
+    own = Counter()
+    for r in got:
+        own[r[0]] += r[4]
+    assert +words == +own
+    assert mixing.mix_digest(empty(spark)).count() == 0
+
+
 # -- packing
 
 
